@@ -127,3 +127,23 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for j in range(n):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - n + 1 + j])
     return mix(out + np.uint64(n))
+
+
+def bitmap(slots: DataFrame, bits: int, *marks: F.Column) -> list[np.ndarray]:
+    """Bitmaps of 2**bits bits over `slots` (slot: long below 2**bits), one per mark (boolean).
+
+    Spark sets the bits; only the maps, whose size is fixed, come to the driver.
+    """
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(*(F.bit_or(F.when(m, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i, m in enumerate(marks or (F.lit(True),)))).toPandas()
+    maps = []
+    for name in words.columns[1:]:
+        out = np.zeros(1 << (bits - 6), np.uint64)
+        out[words["word"].to_numpy(np.int64)] = words[name].to_numpy(np.int64).view(np.uint64)
+        maps.append(out)
+    return maps
+
+
+def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots (uint64) are set."""
+    return (bits[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) > 0

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, settle, shared_dir, shingle_hashes, text_slices, word_hashes
+from .common import bitmap, discard, in_bitmap, mix, settle, shared_dir, shingle_hashes, text_slices, word_hashes
 from .components import connected_components
 
 #: The bitmap of frequent grams has 2**MAP_BITS bits (8 MB), whatever the input.
@@ -45,7 +45,8 @@ MAP_BITS = 26
 FREQUENT, VERY = 12, 1024
 #: A set with at least this overlap always has room for the combinations (1 + 2 * 1 + 2 * 2).
 ROOM = 7
-SKETCH = 8  # longs
+#: Bits of the map of documents that a verification reads.
+WANTED_BITS = 24
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -79,44 +80,48 @@ def _ids(batch: pa.RecordBatch, row: int, n: int) -> pa.Array:
     return batch.column(batch.schema.get_field_index("doc_id")).slice(row, n)
 
 
+def _reach(n, threshold: int):
+    """How many of a set's lowest grams are counted: half as many again as a plain prefix has."""
+    return 3 * (n - _least(n, threshold) + 1) // 2 + 2
+
+
 def profiles(docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """doc_id, n, (hi, lo): digest of the set, sketch, low: its lowest grams."""
+    """doc_id, n, (hi, lo): digest of the set, sketch: its parity bits."""
 
     def work(batches):
         for batch, row, sets in _sets(batches, size):
-            digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-            low = [s[: (3 * (len(s) - _least(len(s), threshold) + 1)) // 2 + 2] for s in sets]
+            digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [_ids(batch, row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(d[0]) for d in digests], pa.int64()), pa.array([int(d[1]) for d in digests], pa.int64()), _lists([_sketch(s) for s in sets]), _lists(low)],
-                names=["doc_id", "n", "hi", "lo", "sketch", "low"],
+                [_ids(batch, row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists([_sketch(s) for s in sets])],
+                names=["doc_id", "n", "hi", "lo", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n long, hi long, lo long, sketch array<long>, low array<long>")
+    return _plain(docs).mapInArrow(work, "doc_id long, n long, hi long, lo long, sketch array<long>")
+
 
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-def frequent_maps(low: DataFrame) -> list[np.ndarray]:
+
+def frequent_maps(docs: DataFrame, known: DataFrame, size: int, threshold: int) -> list[np.ndarray]:
     """Bitmaps, by a gram's top MAP_BITS bits, of frequent and of very frequent grams.
 
-    `low` has an array of grams a row. The counts cover all of them; only the bitmaps,
-    whose size is fixed, come to the driver.
+    Counted are, over all documents, the lowest grams of each: few prefixes reach further.
     """
-    total = low.agg(F.sum(F.size("low"))).first()[0] or 0
-    least = max(FREQUENT, total >> (MAP_BITS - 4))
-    slot = F.shiftrightunsigned("gram", 64 - MAP_BITS)
-    counts = low.select(F.explode("low").alias("gram")).groupBy("gram").count().where(F.col("count") >= least)
-    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    words = counts.withColumn("slot", slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("some"), F.bit_or(F.when(F.col("count") >= VERY * least, bit).otherwise(F.lit(0).cast("long"))).alias("very")).toPandas()
-    maps = []
-    for name in ("some", "very"):
-        bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-        bits[words["word"].to_numpy(np.int64)] = words[name].to_numpy(np.int64).view(np.uint64)
-        maps.append(bits)
-    return maps
+
+    def work(batches):
+        for _, _, sets in _sets(batches, size):
+            low = [s[: _reach(len(s), threshold)] for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(low)))], names=["gram"])
+
+    total = known.agg(F.sum(F.expr(f"3 * (n - ceil({threshold} * n / 100) + 1) div 2 + 2"))).first()[0] or 0
+    least = max(FREQUENT, int(total) >> (MAP_BITS - 4))
+    counts = _plain(docs).mapInArrow(work, "gram long").groupBy("gram").count().where(F.col("count") >= least)
+    return bitmap(counts.withColumn("slot", F.shiftrightunsigned("gram", 64 - MAP_BITS)), MAP_BITS, F.lit(True), F.col("count") >= VERY * least)
 
 
 def _in_map(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
-    slot = s >> np.uint64(64 - MAP_BITS)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    return in_bitmap(bits, s >> np.uint64(64 - MAP_BITS))
 
 
 def signatures(s: np.ndarray, threshold: int, some: np.ndarray, very: np.ndarray) -> np.ndarray:
@@ -169,15 +174,22 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, thr
     """The links among `pairs` (a, b). Sizes and sketches rule out most; the rest compare whole sets."""
     side = lambda x: known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    path = shared_dir(docs.sparkSession)
-    left = settle(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", apart).where(_similar(threshold, "n_a", "n_b", "(n_a + n_b - apart) / 2")).select("a", "b", "n_a", "n_b").distinct(), path)
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
+    left = settle(sized.withColumn("apart", apart).where(_similar(threshold, "n_a", "n_b", "(n_a + n_b - apart) / 2")).select("a", "b", "n_a", "n_b").distinct(), shared_dir(docs.sparkSession))
     wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # A map of fixed size lets tasks pass over most other texts; the join is exact.
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - WANTED_BITS)
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(slot.alias("slot")), WANTED_BITS)[0])
+
+    def likely(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(seen.value, batch.column("slot").to_numpy().view(np.uint64)))).drop_columns("slot")
 
     def work(batches):
-        for batch, row, sets in _sets(batches, size):
+        for batch, row, sets in _sets(likely(batches), size):
             yield pa.RecordBatch.from_arrays([_ids(batch, row, len(sets)), _lists(sets)], names=["doc_id", "grams"])
 
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi").mapInArrow(work, "doc_id long, grams array<long>")
+    sets = _plain(docs).withColumn("slot", slot).mapInArrow(work, "doc_id long, grams array<long>").join(wanted, "doc_id", "left_semi")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g_{x}"))
     shared = F.size(F.array_intersect("g_a", "g_b")).cast("long")
     return left.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared).where(_similar(threshold, "n_a", "n_b", "shared")).select("a", "b", "shared")
@@ -198,36 +210,34 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
         raise ValueError("threshold: 50 to 100")
     spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
     known = settle(profiles(docs, size, threshold), f"{base}/profiles")
-    maps = spark.sparkContext.broadcast(frequent_maps(known.where("doc_id is not null")))
+    maps = spark.sparkContext.broadcast(frequent_maps(docs, known, size, threshold))
 
     def sign(batches):
         for batch, row, sets in _sets(batches, size):
-            found = [signatures(s, threshold, *maps.value) for s in sets]
-            yield pa.RecordBatch.from_arrays([_ids(batch, row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), _lists(found)], names=["doc_id", "n", "sigs"])
-
-    signed = settle(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(sign, "doc_id long, n long, sigs array<long>"), f"{base}/signed")
-    rows = signed.select(F.explode("sigs").alias("sig"), "n", "doc_id")
-    me = F.struct("n", "doc_id")
-    hubs = rows.groupBy("sig").agg(F.min(me).alias("hub"), F.max(me).alias("top")).where("hub <> top").select("sig", "hub")
-    # Of equal sets only the first goes on; the others hang below it.
+            yield pa.RecordBatch.from_arrays([_ids(batch, row, len(sets)), _lists([signatures(s, threshold, *maps.value) for s in sets])], names=["doc_id", "sigs"])
+
+    signed = settle(_plain(docs).where("doc_id is not null").mapInArrow(sign, "doc_id long, sigs array<long>"), f"{base}/signed")
+    rows = signed.select(F.explode("sigs").alias("sig"), "doc_id")
+    hubs = rows.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("sig", "hub")
+    # Of equal sets only the first goes on (a hub always is one); the others hang below it.
     same = known.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = settle(same.select(F.col("first").alias("doc_id")).distinct(), f"{base}/firsts")
     copies = known.select("doc_id", "hi", "lo").join(same.where("first <> last"), ["hi", "lo"]).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    met = settle(rows.join(hubs, "sig").join(firsts, "doc_id", "left_semi").select("sig", "n", "doc_id", "hub"), f"{base}/met")
-    sizes = F.expr(f"100 * least(n, m) >= {threshold} * greatest(n, m)")
+    met = settle(rows.join(hubs, "sig").join(firsts, "doc_id", "left_semi").select("sig", "doc_id", "hub"), f"{base}/met")
+    discard(spark, f"{base}/signed")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    known = known.where("n > 0").select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
-    first = met.withColumn("m", F.col("hub.n")).where(sizes & (F.col("doc_id") != F.col("hub.doc_id"))).select(*pair("doc_id", "hub.doc_id")).distinct()
-    links = settle(verified(first, docs, known, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{base}/links")
+    own = known.where("n > 0").select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
+    first = met.where("doc_id <> hub").select(*pair("doc_id", "hub")).distinct()
+    links = settle(verified(first, docs, own, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{base}/links")
     near = connected_components(links)
-    # Members of a bucket that its smallest one did not join to its component.
+    # Members of a bucket that its hub did not join to its component, against all others.
     of = lambda node, name: near.select(F.col("node").alias(node), F.col("component").alias(name))
-    placed = met.select("sig", "n", "doc_id", F.col("hub.doc_id").alias("hub")).join(of("doc_id", "c"), "doc_id", "left").join(of("hub", "hub_c"), "hub", "left")
+    placed = met.join(own.select("doc_id", "n"), "doc_id").join(of("doc_id", "c"), "doc_id", "left").join(of("hub", "hub_c"), "hub", "left")
     placed = settle(placed.select("sig", "n", "doc_id", "hub", F.coalesce("c", "doc_id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c")), f"{base}/placed")
-    apart = placed.where("c <> hub_c")
-    other = apart.select("sig", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
+    other = placed.where("c <> hub_c").select("sig", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
+    sizes = F.expr(f"100 * least(n, m) >= {threshold} * greatest(n, m)")
     rest = placed.join(other, "sig").where(sizes & F.expr("c <> d and other <> doc_id and doc_id <> hub and (c = hub_c or doc_id < other)")).select(*pair("doc_id", "other")).distinct()
-    more = verified(rest, docs, known, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = verified(rest, docs, own, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = connected_components(links.unionByName(more).unionByName(copies))
-    out = spark.read.schema("doc_id long, n long").parquet(f"{base}/profiles")
-    return out.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    labels = labels.select(F.col("node").alias("doc_id"), "component")
+    return known.select("doc_id", "n").join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
