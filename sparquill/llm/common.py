@@ -45,6 +45,14 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def null_safe_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -97,11 +105,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """64-bit hashes of the words of a run of texts, A-Z lowered, in order.
 
     Returns (hashes, bounds): the words of row i are hashes[bounds[i]:bounds[i + 1]].
+    """
+    return placed_words(data, offsets, _IS_WHITE)[:2]
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As word_hashes, for words that bytes marked in `between` separate; also first bytes and ends.
+
     A word's hash is a polynomial over its bytes, taken from prefix sums.
     """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    white = _IS_WHITE[data]
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    white = between[data]
     first = np.empty(len(data), bool)
     first[0], first[1:] = True, white[:-1]
     first[offsets[:-1][offsets[:-1] < len(data)]] = True  # a row's first byte
@@ -115,7 +130,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     words = (sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)
-    return mix(words), np.searchsorted(starts, offsets)
+    return mix(words), np.searchsorted(starts, offsets), starts, stops
+
+
+def words_by_letters() -> np.ndarray:
+    """What separates words where punctuation doesn't count: all ASCII but letters and digits."""
+    between = np.zeros(256, bool)
+    between[[b for b in range(128) if not chr(b).isalnum()]] = True
+    return between
+
+
+def hash_of(word: str) -> int:
+    """The hash that word_hashes gives a word."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(word_hashes(data, np.array([0, len(data)]))[0][0])
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
