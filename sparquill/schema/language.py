@@ -232,7 +232,7 @@ def render(schema: Schema) -> str:
     if schema.datasource:
         blocks.append("datasource db {\n" + "".join(f"  {k} = {_said(v)}\n" for k, v in schema.datasource.items()) + "}\n")
     blocks += [f"generator {name} {{\n" + "".join(f"  {k} = {_said(v)}\n" for k, v in given.items()) + "}\n" for name, given in schema.generators]
-    blocks += [f"enum {e.name} {{\n" + "".join(f"  {v}" + f" @map({_said(e.columns[v])})" * (v in e.columns) + "\n" for v in e.values) + "}\n" for e in schema.enums]
+    blocks += [f"enum {e.name} {{\n" + "".join(f"  {v}" + f" @map({_said(e.columns.get(v))})" * (v in e.columns) + "\n" for v in e.values) + "}\n" for e in schema.enums]
     for m in schema.models:
         kind = lambda f: f.type + "[]" * f.is_list + "?" * f.optional
         wide, wider = (max((len(x(f)) for f in m.fields), default=0) for x in (lambda f: f.name, kind))
@@ -240,6 +240,7 @@ def render(schema: Schema) -> str:
         for f in m.fields:
             lines += [f"  /// {said}" for said in (f.doc or "").split("\n") if said]
             lines.append(f"  {f.name:<{wide}} {kind(f):<{wider}} {_attributes(f, f.kind == 'enum')}".rstrip())
-        extra = [f"  @@id({_said(m.key.fields)})"] * bool(m.key) + [f"  @@unique({_said(k.fields)})" for k in m.uniques] + [f"  @@index({_said(k.fields)})" for k in m.indexes] + [f"  @@map({_said(m.table)})"] * bool(m.table)
+        extra = [f"  @@id({_said(k.fields)})" for k in (m.key,) if k] + [f"  @@unique({_said(k.fields)})" for k in m.uniques] + [f"  @@index({_said(k.fields)})" for k in m.indexes]
+        extra += [f"  @@map({_said(m.table)})"] * bool(m.table)
         blocks.append("".join(f"/// {s}\n" for s in (m.doc or "").split("\n") if s) + f"model {m.name} {{\n" + "\n".join(lines + ([""] + extra if extra else [])) + "\n}\n")
     return "\n".join(blocks)
