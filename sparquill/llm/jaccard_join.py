@@ -14,12 +14,13 @@ other (o: the least overlap), so the grams of a prefix hold some that are shared
   prefixes are extended for 2 G, so both form every combination of the finer cut.
 * Sets too small for that (o below 7) meet through plain prefixes, too.
 
-Documents that share a signature are verified, but not each against each: first all
-members of a bucket against its smallest one. What this joins to components needs
-no other pair; only members of different components in one bucket are paired then,
-which is exact for the components and linear for a large group of copies. Pairs
-are dropped early if their sizes, or the Hamming distance of 512-bit parity sketches
-(a lower bound of the symmetric difference), exclude the threshold.
+Documents that share a signature are verified, but not each against each: all members
+of a bucket against one of it, its hub, and in further rounds against other hubs of
+other components. What this joins to components needs no other pair; at the end
+only members of different components in one bucket are paired, which is exact for the
+components and linear for a large group of copies. Pairs are dropped early if their
+sizes, or the Hamming distance of 512-bit parity sketches (a lower bound of the
+symmetric difference), exclude the threshold.
 
 Which grams are frequent only decides how many candidates arise, never which links
 are found, so it may live in a bitmap of fixed size.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, in_bitmap, mix, settle, shared_dir, shingle_hashes, text_slices, word_hashes
+from .common import bitmap, discard, in_bitmap, mix, settle, shared_dir, shingle_hashes, text_slices, unused, word_hashes
 from .components import connected_components
 
 #: The bitmap of frequent grams has 2**MAP_BITS bits (8 MB), whatever the input.
@@ -45,6 +46,9 @@ MAP_BITS = 26
 FREQUENT, VERY = 12, 1024
 #: A set with at least this overlap always has room for the combinations (1 + 2 * 1 + 2 * 2).
 ROOM = 7
+#: After the first round, buckets of several components get other hubs: so many different
+#: ones over all buckets of a group. Rounds only save pairs; what they leave is compared.
+ROUNDS = (4, 16)
 #: Bits of the map of documents that a verification reads.
 WANTED_BITS = 24
 
@@ -225,19 +229,47 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
     copies = known.select("doc_id", "hi", "lo").join(same.where("first <> last"), ["hi", "lo"]).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     met = settle(rows.join(hubs, "sig").join(firsts, "doc_id", "left_semi").select("sig", "doc_id", "hub"), f"{base}/met")
     discard(spark, f"{base}/signed")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     own = known.where("n > 0").select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
-    first = met.where("doc_id <> hub").select(*pair("doc_id", "hub")).distinct()
-    links = settle(verified(first, docs, own, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{base}/links")
-    near = connected_components(links)
-    # Members of a bucket that its hub did not join to its component, against all others.
-    of = lambda node, name: near.select(F.col("node").alias(node), F.col("component").alias(name))
-    placed = met.join(own.select("doc_id", "n"), "doc_id").join(of("doc_id", "c"), "doc_id", "left").join(of("hub", "hub_c"), "hub", "left")
-    placed = settle(placed.select("sig", "n", "doc_id", "hub", F.coalesce("c", "doc_id").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c")), f"{base}/placed")
-    other = placed.where("c <> hub_c").select("sig", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
-    sizes = F.expr(f"100 * least(n, m) >= {threshold} * greatest(n, m)")
-    rest = placed.join(other, "sig").where(sizes & F.expr("c <> d and other <> doc_id and doc_id <> hub and (c = hub_c or doc_id < other)")).select(*pair("doc_id", "other")).distinct()
-    more = verified(rest, docs, own, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = connected_components(links.unionByName(more).unionByName(copies))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    edges = lambda pairs: verified(pairs, docs, own, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = settle(edges(met.where("doc_id <> hub").select(*pair("doc_id", "hub")).distinct()), f"{base}/links0")
+    live = met.select("sig", "doc_id")
+    for k, hubs_each in enumerate(ROUNDS):
+        live = settle(_divided(live, connected_components(links)), f"{base}/live{k}")
+        hub = F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(hubs_each))).alias("x"), F.col("doc_id").alias("hub"), F.col("c").alias("hub_c")))
+        chosen = live.groupBy("sig").agg(hub.alias("h")).select("sig", "h.hub", "h.hub_c")
+        more = edges(live.join(chosen, "sig").where("c <> hub_c").select(*pair("doc_id", "hub")).distinct())
+        links = links.unionByName(settle(more, f"{base}/links{k + 1}"))
+        live = live.select("sig", "doc_id")
+    # What is left in buckets of several components: members of one against those of others.
+    live = _divided(live, connected_components(links)).join(own.select("doc_id", "n", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(8))), "doc_id")
+    live = settle(live, f"{base}/live")
+    other = live.join(live.groupBy("sig").agg(F.min("c").alias("first_c")), "sig").where("c <> first_c").select("sig", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), "first_c", *(F.col(f"s{i}").alias(f"o{i}") for i in range(8)))
+    apart = " + ".join(f"bit_count(s{i} ^ o{i})" for i in range(8))
+    likely = F.expr(f"100 * least(n, m) >= {threshold} * greatest(n, m) and {_similar(threshold, 'n', 'm', f'(n + m - ({apart})) / 2')}")
+    rest = live.join(other, "sig").where(likely & F.expr("c <> d and (c = first_c or doc_id < other)")).select(*pair("doc_id", "other")).distinct()
+    labels = connected_components(links.unionByName(edges(rest)).unionByName(copies))
     labels = labels.select(F.col("node").alias("doc_id"), "component")
     return known.select("doc_id", "n").join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _divided(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of bucket members (sig, doc_id) those in buckets of several components, with theirs: sig, doc_id, c."""
+    placed = met.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    several = placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("sig")
+    return placed.join(several, "sig", "left_semi")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the document with the smallest id.
+
+    All columns stay. Rows without words or without id link with nothing and stay; of
+    rows that repeat an id, one stays.
+    """
+    found = jaccard_components(docs, size, threshold).where("doc_id is not null and n_shingles > 0")
+    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("rows")).where("component <> doc_id or rows > 1")
+    i = unused(docs, "doc")
+    gone = settle(gone.select(F.col("doc_id").alias(i), F.expr("component = doc_id").alias("first")), shared_dir(docs.sparkSession))
+    plain = docs.join(gone.select(i), F.col("doc_id").cast("long") == F.col(i), "left_anti")
+    repeated = docs.join(gone.where("first").select(i), F.col("doc_id").cast("long") == F.col(i), "left_semi").dropDuplicates(["doc_id"])
+    return plain.unionByName(repeated).select(*docs.columns)
