@@ -13,6 +13,7 @@ the entity, and its occurrences become spans of kind term, too.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ PATTERNS = {
 #: A character that a text must have for a match, where there is one.
 _NEEDS = {"email": "@", "phone": "+"}
 _CHUNK = 64
+#: Bits of the map that thins out terms before a join (32 KB, whatever the input).
+MAP_BITS = 18
 
 
 @dataclass(frozen=True)
@@ -121,6 +124,21 @@ def _words(text: Column) -> Column:
     return F.split(text, r"[\x20\x09-\x0D]+")
 
 
+def _likely(terms: DataFrame):
+    """A test for a term that all of `terms` (term) pass, and few others.
+
+    It is a bitmap of MAP_BITS bits, made by Spark and put into the plan as a literal of
+    fixed size; the joins behind it are exact, and get fewer rows.
+    """
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << MAP_BITS))
+    rows = terms.select(slot(F.col("term")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()
+    words = [0] * (1 << (MAP_BITS - 6))
+    for r in rows:
+        words[r["word"]] = r["bits"]
+    bits = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    return lambda w: _let(slot(w), lambda k: F.get(bits, F.shiftright(k, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))) != 0)
+
+
 def disclosing_terms(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """The terms of docs (text) that disclose an entity: term, entity, c, df_term, df_entity.
 
@@ -137,8 +155,8 @@ def disclosing_terms(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFra
     pairs = mentions.select("t", "entity", F.explode("terms").alias("term")).distinct().groupBy("term", "entity").agg(F.count("*").alias("c")).where(F.col("c") >= how.texts)
     pairs = settle(pairs, f"{base}/pairs")
     with_entity = mentions.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    wanted = pairs.select("term").distinct()
-    held = rows.select("t", F.explode(_terms(_words(F.col("text")))).alias("term")).join(wanted, "term", "left_semi")
+    wanted = settle(pairs.select("term").distinct(), f"{base}/wanted")
+    held = rows.select("t", F.explode(F.filter(_terms(_words(F.col("text"))), _likely(wanted))).alias("term")).join(wanted, "term", "left_semi")
     with_term = held.distinct().groupBy("term").agg(F.count("*").alias("df_term"))
     n = rows.select("t").distinct().count()
     figures = pairs.join(with_term, "term").join(with_entity, "entity").withColumn("n_texts", F.lit(n))
@@ -160,8 +178,8 @@ def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     base = shared_dir(docs.sparkSession)
     text = null_safe_text().cast("string")
     rows = docs.select("doc_id", text.alias("text")).withColumn("t", F.xxhash64("text"))
-    terms = disclosing_terms(docs, how).select("term").distinct()
-    flagged = rows.select("t", F.explode(_terms(_words(F.col("text")))).alias("term")).join(terms, "term").select("t", "term").distinct()
+    terms = settle(disclosing_terms(docs, how).select("term").distinct(), f"{base}/terms")
+    flagged = rows.select("t", F.explode(F.filter(_terms(_words(F.col("text"))), _likely(terms))).alias("term")).join(terms, "term", "left_semi").distinct()
     flagged = settle(flagged.groupBy("t").agg(F.sort_array(F.collect_set("term")).alias("terms")), f"{base}/flagged")
     any_of = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.transform("terms", lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     rows = entities(rows.join(flagged, "t", "left"))
