@@ -58,7 +58,7 @@ filters("where_not_in_empty", "Supplier", {"suppkey": {"notIn": []}}, "1 = 1", _
 filters("where_not_in_null", "Supplier", {"suppkey": {"notIn": [1, None]}}, "s_suppkey NOT IN (1, NULL)", _S)
 filters("where_range", "Order", {"totalprice": {"gte": 100000, "lt": 200000}}, "o_totalprice >= 100000 AND o_totalprice < 200000", _O)
 filters("where_datetime", "Order", {"orderdate": {"gte": datetime(1995, 1, 1), "lt": datetime(1996, 1, 1)}}, "o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'", _O)
-filters("where_contains", "Part", {"name": {"contains": "1"}}, "contains(p_name, '1')", _P)
+filters("where_contains", "Part", {"name": {"contains": "d wid"}}, "contains(p_name, 'd wid')", _P)
 filters("where_contains_literal", "Part", {"name": {"contains": "_1%"}}, "contains(p_name, '_1%')", _P)
 filters("where_starts_with", "Part", {"brand": {"startsWith": "Brand#1"}}, "starts_with(p_brand, 'Brand#1')", _P)
 filters("where_ends_with", "Part", {"brand": {"endsWith": "3"}}, "ends_with(p_brand, '3')", _P)
