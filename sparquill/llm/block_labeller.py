@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-PATH, WORD, HIDDEN = 96, 32, 16
+PATH, WORD, HIDDEN = 256, 32, 16
 WIDTH = PATH + WORD + 8
 
 

@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from .block_labeller import Block, features, scores, train
 
 #: Made-up pages that the labeller is fitted to.
-PAGES = 600
+PAGES = 2000
 
 # Fixed values of HTML: elements without content, with raw text, and within lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea select option svg iframe object canvas head title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
@@ -55,7 +56,7 @@ def blocks(page: str) -> list[Block]:
     def close(tag: str) -> None:
         nonlocal links
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
+            if stack[k][0] == tag or tag in HEADINGS and stack[k][0] in HEADINGS:
                 links -= sum(t == "a" for t, _ in stack[k:])
                 del stack[k:]
                 return
@@ -150,7 +151,8 @@ def made_up(seed: int) -> tuple[str, set[str]]:
             body = r.choice(["", "&copy; "]) + r.choice([text(2, 14), r.choice(PHRASES).capitalize() + " " + text(1, 6)])
             body = r.choice([body, f"<p>{body}</p>", f"<span>{body}</span>"])
         else:
-            body = f"<h{r.randint(2, 4)}>{text(1, 5)}</h3>" * (r.random() < 0.5) + "".join(f"<p>{inside(text(3, 45))}</p>" for _ in range(r.randint(1, 4)))
+            size = r.randint(2, 4)
+            body = f"<h{size}>{text(1, 5)}</h{size}>" * (r.random() < 0.5) + "".join(f"<p>{inside(text(3, 45))}</p>" for _ in range(r.randint(1, 4)))
         return f"<{tag}{attr}>{body}</{tag}>"
 
     own: set[str] = set()
@@ -165,7 +167,8 @@ def made_up(seed: int) -> tuple[str, set[str]]:
             said = keep(text(1, 90))
             return r.choice([f"<p>{said}</p>", f"<p>{said}", f"<p><b>{said}</b></p>", f"<div>{said}</div>"] if kind > 0.5 else [f"<p>{said}</p>"])
         if kind < 0.84:
-            return f"<h{r.randint(2, 3)}>{keep(text(1, 8))}</h2>"
+            size = r.randint(2, 3)
+            return f"<h{size}>{keep(text(1, 8))}</h{size}>"
         if kind < 0.93:
             return "<ul>" + "".join(f"<li>{keep(text(1, 20))}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
         return f"<blockquote>{keep(text(4, 40))}</blockquote>" if kind < 0.97 else f"<pre>{keep(text(4, 20))}</pre>"
