@@ -111,27 +111,23 @@ def entities(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows
 
 
-_EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: A term: a run of letters, hyphens and apostrophes, without letters or digits around it.
+_TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}'’-]*+\p{L}?(?![\p{L}\p{N}])"
 
 
-def _terms(words: Column) -> Column:
-    """The different terms among words: lower case, without punctuation around, letters only."""
-    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), _EDGE, ""))
-    return F.array_distinct(F.filter(bare, lambda w: F.rlike(w, F.lit(r"^\p{L}[\p{L}'’-]+$"))))
+def _terms(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
-def _words(text: Column) -> Column:
-    return F.split(text, r"[\x20\x09-\x0D]+")
-
-
-def _likely(terms: DataFrame):
-    """A test for a term that all of `terms` (term) pass, and few others.
+def _likely(terms: DataFrame, column: str):
+    """A test for a value that all of `terms` (column) pass, and few others.
 
     It is a bitmap of MAP_BITS bits, made by Spark and put into the plan as a literal of
     fixed size; the joins behind it are exact, and get fewer rows.
     """
     slot = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << MAP_BITS))
-    rows = terms.select(slot(F.col("term")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()
+    rows = terms.select(slot(F.col(column)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()
     words = [0] * (1 << (MAP_BITS - 6))
     for r in rows:
         words[r["word"]] = r["bits"]
@@ -139,37 +135,36 @@ def _likely(terms: DataFrame):
     return lambda w: _let(slot(w), lambda k: F.get(bits, F.shiftright(k, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))) != 0)
 
 
-def disclosing_terms(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
-    """The terms of docs (text) that disclose an entity: term, entity, c, df_term, df_entity.
+def _mentions(kind: str, words: int) -> Column:
+    """Per span of a kind the entity, and the text next to it: so many words on either side."""
+    spoken = {"email": F.lower, "ip": lambda m: m}.get(kind, lambda m: F.regexp_replace(m, r"[\x20().-]", ""))
+    near = lambda x: F.concat_ws(" ", F.substring_index(x["before"], " ", -words), F.substring_index(x["after"], " ", words))
+    return F.transform(F.col(kind), lambda x: F.struct(F.concat(F.lit(f"{kind}:"), spoken(x["m"])).alias("entity"), _terms(near(x)).alias("terms")))
+
 
-    Counts are of different texts, over all of them; equal texts count once.
+def disclosing_terms(mentions: DataFrame, rows: DataFrame, how: Disclosure, base: str) -> tuple[DataFrame, DataFrame]:
+    """(term, entity, c, df_term, df_entity) of the terms that disclose an entity, and where candidates occur: (t, term).
+
+    mentions (t, entity, terms) and rows (t, text) are of all texts, t being a text's
+    hash; equal texts count once.
     """
-    base = shared_dir(docs.sparkSession)
-    text = null_safe_text().cast("string")
-    rows = docs.select(text.alias("text")).withColumn("t", F.xxhash64("text"))
-    found = entities(rows)
-    near = lambda x: F.concat(F.slice(F.reverse(_words(x["before"])), 1, how.words), F.slice(_words(x["after"]), 1, how.words))
-    mention = lambda kind: F.transform(F.col(kind), lambda x: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(x["m"]) if kind == "email" else F.regexp_replace(x["m"], r"[\x20().-]", "") if kind != "ip" else x["m"]).alias("entity"), _terms(near(x)).alias("terms")))
-    mentions = found.select("t", F.explode(F.concat(*map(mention, PATTERNS))).alias("x")).select("t", "x.entity", "x.terms")
-    mentions = settle(mentions, f"{base}/mentions")
     pairs = mentions.select("t", "entity", F.explode("terms").alias("term")).distinct().groupBy("term", "entity").agg(F.count("*").alias("c")).where(F.col("c") >= how.texts)
     pairs = settle(pairs, f"{base}/pairs")
     with_entity = mentions.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     wanted = settle(pairs.select("term").distinct(), f"{base}/wanted")
-    held = rows.select("t", F.explode(F.filter(_terms(_words(F.col("text"))), _likely(wanted))).alias("term")).join(wanted, "term", "left_semi")
-    with_term = held.distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+    held = rows.select("t", F.explode(F.filter(_terms(F.col("text")), _likely(wanted, "term"))).alias("term")).join(wanted, "term", "left_semi")
+    held = settle(held.select("t", "term").distinct(), f"{base}/held")
     n = rows.select("t").distinct().count()
-    figures = pairs.join(with_term, "term").join(with_entity, "entity").withColumn("n_texts", F.lit(n))
+    figures = pairs.join(held.groupBy("term").agg(F.count("*").alias("df_term")), "term").join(with_entity, "entity").withColumn("n_texts", F.lit(n))
     strong = (F.col("c") >= how.probability * F.col("df_term")) & (F.log2(F.col("c") * F.col("n_texts") / (F.col("df_term") * F.col("df_entity"))) >= how.bits)
-    return settle(figures.where(strong).select("term", "entity", "c", "df_term", "df_entity"), f"{base}/disclosing")
+    return settle(figures.where(strong).select("term", "entity", "c", "df_term", "df_entity"), f"{base}/disclosing"), held
 
 
 def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """Spans of personal data and of disclosing terms in every row of docs (doc_id, text).
 
-    Returns doc_id, text, the arrays email, ip, card, phone, term (struct with s, e, m,
-    before, after: code points, end exclusive; matched text; text up to the match
-    before or after).
+    Returns doc_id, t (the text's xxhash64), and the arrays email, ip, card, phone, term:
+    struct<s, e, m>, code points, end exclusive, and the matched text.
 
     A null text is empty and has no spans. Rows are told apart by doc_id (null is a
     value like others) and text; equal rows get equal results. Other columns are
@@ -178,13 +173,19 @@ def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     base = shared_dir(docs.sparkSession)
     text = null_safe_text().cast("string")
     rows = docs.select("doc_id", text.alias("text")).withColumn("t", F.xxhash64("text"))
-    terms = settle(disclosing_terms(docs, how).select("term").distinct(), f"{base}/terms")
-    flagged = rows.select("t", F.explode(F.filter(_terms(_words(F.col("text"))), _likely(terms))).alias("term")).join(terms, "term", "left_semi").distinct()
-    flagged = settle(flagged.groupBy("t").agg(F.sort_array(F.collect_set("term")).alias("terms")), f"{base}/flagged")
+    bare = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    found = entities(rows).select("doc_id", "t", *(bare(F.col(k)).alias(k) for k in PATTERNS), F.concat(*(_mentions(k, how.words) for k in PATTERNS)).alias("mentions"))
+    found = settle(found, f"{base}/found")
+    mentions = found.select("t", F.explode("mentions").alias("x")).select("t", "x.entity", "x.terms")
+    strong, held = disclosing_terms(mentions, rows, how, base)
+    terms = settle(strong.select("term").distinct(), f"{base}/terms")
+    flagged = held.join(terms, "term", "left_semi").groupBy("t").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    flagged = settle(flagged, f"{base}/flagged")
+    # Whole words out of a text's own list; only such texts go through the join.
     any_of = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.transform("terms", lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    rows = entities(rows.join(flagged, "t", "left"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
-    return rows.withColumn("term", F.when(F.col("terms").isNotNull(), _spans(_pieces(F.col("text"), any_of), lambda m: F.lit(True))).otherwise(none)).drop("t", "terms")
+    hit = rows.where(_likely(flagged, "t")(F.col("t"))).join(flagged, "t").select("t", bare(_spans(_pieces(F.col("text"), any_of), lambda m: F.lit(True))).alias("term")).dropDuplicates(["t"])
+    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    return found.drop("mentions").join(hit, "t", "left").select("doc_id", "t", *PATTERNS, F.coalesce("term", none).alias("term"))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -203,14 +204,16 @@ def _generalised(kind: str, pieces: Column) -> Column:
     return _let(pieces, lambda p: F.array_join(F.zip_with(p["gaps"], p["hits"], lambda g, m: F.concat(g, hit(m))), ""))
 
 
-def sanitised(found: DataFrame) -> DataFrame:
-    """doc_id, text of personal_data()'s result, with entities generalised to <KIND> and terms removed.
+def sanitised(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text of docs with personal_data()'s entities generalised to <KIND> and terms removed.
 
     Where spans overlap, the kind listed first takes the text.
     """
+    spans = found.select("t", *PATTERNS, "term").dropDuplicates(["t"])
+    rows = docs.select("doc_id", null_safe_text().cast("string").alias("text")).withColumn("t", F.xxhash64("text")).join(spans, "t")
     text = F.col("text")
     for kind, pattern in PATTERNS.items():
         text = F.when(F.size(kind) > 0, _generalised(kind, _pieces(text, F.lit(pattern)))).otherwise(text)
     words = F.array_distinct(F.transform("term", lambda x: F.concat(F.lit("\\Q"), x["m"], F.lit("\\E"))))
     gone = F.regexp_replace(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])")), F.lit(""))
-    return found.select("doc_id", F.when(F.size("term") > 0, gone).otherwise(text).alias("text"))
+    return rows.select("doc_id", F.when(F.size("term") > 0, gone).otherwise(text).alias("text"))
