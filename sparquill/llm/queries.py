@@ -71,6 +71,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op3_secret_scan": r"""
+WITH rules(no, kind, least, grp, pattern) AS (VALUES
+  (0, 'assign', 12, 2, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', 18, 0, '()()AKIA[A-Z0-9]+'), (2, 'hex', 16, 0, '()()[0-9a-f]+'), (3, 'private_key', 1, 0, '()()-----BEGIN [A-Z ]*PRIVATE KEY-----'),
+  (4, 'code_host', 1, 0, '()()gh[pousr]_[A-Za-z0-9]{36,}'), (5, 'chat_app', 1, 0, '()()xox[abprs]-[A-Za-z0-9-]{10,}')),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, no, kind, least, grp, regexp_extract_all(text, pattern) AS hit, regexp_extract_all(text, pattern, 2) AS part, string_split_regex(text, pattern) AS gap FROM d, rules),
+x AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m),
+y AS (SELECT doc_id, no, kind, CAST(list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS a, length(hit[i]) AS n
+      FROM x WHERE length(CASE WHEN grp = 2 THEN part[i] ELSE hit[i] END) >= least),
+z AS (SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n0, count(*) FILTER (WHERE no = 1) AS n1, count(*) FILTER (WHERE no = 2) AS n2,
+             string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, no) FILTER (WHERE no < 3) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, no) AS spans
+      FROM y GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN z USING (doc_id)""",
     "op2_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 b AS (SELECT *, octet_length(encode(html)) AS bytes, min(page_id) OVER (PARTITION BY html) AS first FROM p)
