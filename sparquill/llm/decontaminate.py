@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of tokens in which numbers, names and units are typed
-placeholders (runs of one type are one token), so a question and its variant with
-other parameters share templates. Windows of tokens are hashed and joined with the
-windows of the benchmark's items. Where windows of an item and a document agree along
+placeholders (runs of one type are one token) and other words have no case (ASCII and
+Latin-1), so a question and its variant with other parameters share templates. Windows
+of tokens are hashed and joined with the windows of the benchmark's items. Where windows of an item and a document agree along
 one alignment, their slots are compared: a value of the item must always stand
 against the same value of the document. A document is contaminated by an item if
 consistent windows cover enough of it.
@@ -42,23 +42,26 @@ class Match:
 def canonical(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per row: the template's tokens, and for each placeholder its value (0 for literals)."""
     between = words_by_letters()
-    words, bounds, starts, stops = placed_words(data, offsets, between)
+    folded = data.copy()  # placed_words folds A-Z; in UTF-8 this folds the capitals of Latin-1
+    accented = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
+    folded[1:][accented] += 0x20
+    words, bounds, starts, stops = placed_words(folded, offsets, between)
     if not len(words):
         for _ in range(len(offsets) - 1):
             yield words, words
         return
     first = data[starts]
     number = (first >= 48) & (first <= 57)
-    # A capital after which the word goes on, not at the beginning of a sentence.
+    # A capital and no other after it, not at the beginning of a sentence.
     ends = np.zeros(len(data) + 1, np.int64)
     np.cumsum(np.isin(data, np.frombuffer(b".!?\n", np.uint8)), out=ends[1:])
     fresh = np.ones(len(words), bool)
     fresh[1:] = ends[starts[1:]] > ends[stops[:-1]]
     rows = bounds[:-1][bounds[:-1] < len(words)]
     fresh[rows] = True
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    name = capital & ~fresh & (stops - starts > 1)
+    upper = lambda at: ((data[at] >= 65) & (data[at] <= 90)) | ((data[at] == 0xC3) & (data[np.minimum(at + 1, len(data) - 1)] >= 0x80) & (data[np.minimum(at + 1, len(data) - 1)] <= 0x9E))
+    after = np.minimum(starts + 1 + (first >= 0xC0), len(data) - 1)
+    name = upper(starts) & ~upper(after) & ~fresh & (stops - starts > 1)
     unit = np.isin(words, np.array([hash_of(u) for u in UNITS], np.uint64))
     unit[1:] &= number[:-1]
     unit[0] = False
