@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,3 +176,35 @@ def bitmap(slots: DataFrame, bits: int, *marks: F.Column) -> list[np.ndarray]:
 def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Which slots (uint64) are set."""
     return (bits[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) > 0
+
+
+#: Bits of the map that likely_in puts into a plan (32 KB, whatever the input).
+LIKELY_BITS = 18
+
+
+def likely_in(values: DataFrame, column: str) -> Callable[[F.Column], F.Column]:
+    """A test for a value that all of `values` (column) pass, and few others.
+
+    It is a bitmap, made by Spark and put into the plan as a literal of fixed size; an
+    exact join behind it gets fewer rows. DataFrame expressions only.
+    """
+    slot = lambda v: F.pmod(F.xxhash64(v), F.lit(1 << LIKELY_BITS))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    rows = values.select(slot(F.col(column)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    words = [0] * (1 << (LIKELY_BITS - 6))
+    for r in rows:
+        words[r["word"]] = r["bits"]
+    bits = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    shifted = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    hit = lambda k: F.get(bits, F.shiftright(k, 6).cast("int")).bitwiseAND(shifted(k)) != 0
+    return lambda v: F.get(F.transform(F.array(slot(v)), lambda k: hit(k)), F.lit(0))
+
+
+def without(docs: DataFrame, gone: DataFrame, value: F.Column, column: str, same: F.Column) -> DataFrame:
+    """The rows of docs that have no partner in `gone` (a written table) under the condition `same`.
+
+    `value` of docs and `column` of gone are equal where `same` holds; only rows whose
+    value is likely in gone go through the join, with their texts.
+    """
+    maybe = likely_in(gone, column)(value)
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(gone, same, "left_anti").select(*docs.columns))

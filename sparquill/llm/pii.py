@@ -13,13 +13,12 @@ the entity, and its occurrences become spans of kind term, too.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_text, settle, shared_dir
+from .common import likely_in, null_safe_text, settle, shared_dir
 
 #: The patterns, in the order of kinds. Lookbehind and \G start a match where a run of
 #: its characters starts, and possessive loops don't go back: the leftmost matches
@@ -33,8 +32,6 @@ PATTERNS = {
 #: A character that a text must have for a match, where there is one.
 _NEEDS = {"email": "@", "phone": "+"}
 _CHUNK = 64
-#: Bits of the map that thins out terms before a join (32 KB, whatever the input).
-MAP_BITS = 18
 
 
 @dataclass(frozen=True)
@@ -120,21 +117,6 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
-def _likely(terms: DataFrame, column: str):
-    """A test for a value that all of `terms` (column) pass, and few others.
-
-    It is a bitmap of MAP_BITS bits, made by Spark and put into the plan as a literal of
-    fixed size; the joins behind it are exact, and get fewer rows.
-    """
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << MAP_BITS))
-    rows = terms.select(slot(F.col(column)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect()
-    words = [0] * (1 << (MAP_BITS - 6))
-    for r in rows:
-        words[r["word"]] = r["bits"]
-    bits = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
-    return lambda w: _let(slot(w), lambda k: F.get(bits, F.shiftright(k, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))) != 0)
-
-
 def _mentions(kind: str, words: int) -> Column:
     """Per span of a kind the entity, and the text next to it: so many words on either side."""
     spoken = {"email": F.lower, "ip": lambda m: m}.get(kind, lambda m: F.regexp_replace(m, r"[\x20().-]", ""))
@@ -148,11 +130,14 @@ def disclosing_terms(mentions: DataFrame, rows: DataFrame, how: Disclosure, base
     mentions (t, entity, terms) and rows (t, text) are of all texts, t being a text's
     hash; equal texts count once.
     """
-    pairs = mentions.select("t", "entity", F.explode("terms").alias("term")).distinct().groupBy("term", "entity").agg(F.count("*").alias("c")).where(F.col("c") >= how.texts)
-    pairs = settle(pairs, f"{base}/pairs")
+    near = mentions.select("t", "entity", F.explode("terms").alias("term")).distinct()
+    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("c")).where(F.col("c") >= how.texts)
+    # Texts with the term next to any entity are at most df(t), so they rule out most common terms.
+    df_near = near.select("t", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
+    pairs = settle(pairs.join(df_near, "term").where(F.col("c") >= how.probability * F.col("df_near")).drop("df_near"), f"{base}/pairs")
     with_entity = mentions.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     wanted = settle(pairs.select("term").distinct(), f"{base}/wanted")
-    held = rows.select("t", F.explode(F.filter(_terms(F.col("text")), _likely(wanted, "term"))).alias("term")).join(wanted, "term", "left_semi")
+    held = rows.select("t", F.explode(F.filter(_terms(F.col("text")), likely_in(wanted, "term"))).alias("term")).join(wanted, "term", "left_semi")
     held = settle(held.select("t", "term").distinct(), f"{base}/held")
     n = rows.select("t").distinct().count()
     figures = pairs.join(held.groupBy("term").agg(F.count("*").alias("df_term")), "term").join(with_entity, "entity").withColumn("n_texts", F.lit(n))
@@ -183,7 +168,7 @@ def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     flagged = settle(flagged, f"{base}/flagged")
     # Whole words out of a text's own list; only such texts go through the join.
     any_of = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.transform("terms", lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    hit = rows.where(_likely(flagged, "t")(F.col("t"))).join(flagged, "t").select("t", bare(_spans(_pieces(F.col("text"), any_of), lambda m: F.lit(True))).alias("term")).dropDuplicates(["t"])
+    hit = rows.where(likely_in(flagged, "t")(F.col("t"))).join(flagged, "t").select("t", bare(_spans(_pieces(F.col("text"), any_of), lambda m: F.lit(True))).alias("term")).dropDuplicates(["t"])
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
     return found.drop("mentions").join(hit, "t", "left").select("doc_id", "t", *PATTERNS, F.coalesce("term", none).alias("term"))
 
