@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, hash_of, in_bitmap, mix, placed_words, settle, shared_dir, text_slices, unused, words_by_letters
+from .common import bitmap, hash_of, in_bitmap, mix, placed_words, settle, shared_dir, text_slices, unused, without, words_by_letters
 
 #: Units that make a placeholder after a number.
 UNITS = "mm cm m km in ft mi mg g kg lb oz t ml l s sec seconds min minutes h hours days weeks months years percent usd eur dollars euros cents meters metres kilometers kilograms grams liters litres miles degrees watts volts".split()
@@ -159,4 +159,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, how: Match = Match())
     """The rows of docs, with all their columns, that contain no item of the benchmark."""
     i = unused(docs, "doc")
     found = settle(contaminated(docs, benchmark, how).select(F.col("doc_id").alias(i)).distinct(), shared_dir(docs.sparkSession))
-    return docs.join(found, F.col("doc_id").cast("long") == F.col(i), "left_anti").select(*docs.columns)
+    return without(docs, found, F.col("doc_id").cast("long"), i, F.col("doc_id").cast("long") == F.col(i))

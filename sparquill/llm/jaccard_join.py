@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, in_bitmap, mix, settle, shared_dir, shingle_hashes, text_slices, unused, word_hashes
+from .common import bitmap, discard, in_bitmap, mix, settle, shared_dir, shingle_hashes, text_slices, unused, without, word_hashes
 from .components import connected_components
 
 #: The bitmap of frequent grams has 2**MAP_BITS bits (8 MB), whatever the input.
@@ -270,6 +270,8 @@ def one_of_each(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFram
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("rows")).where("component <> doc_id or rows > 1")
     i = unused(docs, "doc")
     gone = settle(gone.select(F.col("doc_id").alias(i), F.expr("component = doc_id").alias("first")), shared_dir(docs.sparkSession))
-    plain = docs.join(gone.select(i), F.col("doc_id").cast("long") == F.col(i), "left_anti")
-    repeated = docs.join(gone.where("first").select(i), F.col("doc_id").cast("long") == F.col(i), "left_semi").dropDuplicates(["doc_id"])
-    return plain.unionByName(repeated).select(*docs.columns)
+    plain = without(docs, gone.select(i), F.col("doc_id").cast("long"), i, F.col("doc_id").cast("long") == F.col(i))
+    first = gone.where("first").select(i)
+    if first.isEmpty():  # no id is repeated
+        return plain
+    return plain.unionByName(docs.join(first, F.col("doc_id").cast("long") == F.col(i), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

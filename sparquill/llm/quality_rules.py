@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, null_safe_text, settle, shared_dir, unused
+from .common import WHITE, null_safe_text, settle, shared_dir, unused, without
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -111,6 +111,8 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs that quality() keeps, whole and with all their columns."""
     i, s, t = (unused(docs, name) for name in ("doc", "host", "hash"))
-    verdict = _judged(docs, limits).where("kept").select(F.col("doc_id").alias(i), F.col("_s").alias(s), F.col("_t").alias(t)).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64(null_safe_text().cast("string")) == F.col(t)) & F.col("source").cast("string").eqNullSafe(F.col(s))
-    return docs.join(verdict, same, "left_semi").select(*docs.columns)
+    rejected = _judged(docs, limits).where("not kept").select(F.col("doc_id").alias(i), F.col("_s").alias(s), F.col("_t").alias(t)).distinct()
+    rejected = settle(rejected, shared_dir(docs.sparkSession))
+    own = F.xxhash64(null_safe_text().cast("string"))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (own == F.col(t)) & F.col("source").cast("string").eqNullSafe(F.col(s))
+    return without(docs, rejected, own, t, same)
