@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from re import _constants as sre  # the parser that compiles every pattern in Python
 from re import _parser as sre_parser
 
-from .common import text_slices, unused
+from .common import likely_in, settle, shared_dir, text_slices, unused
 
 
 @dataclass(frozen=True)
@@ -199,9 +199,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
         return pd.Series([one(b, s) for b, s in zip(texts, spans, strict=True)])
 
     i, t, clean = (unused(docs, name) for name in ("doc", "hash", "clean"))
-    changed = found.select(F.col("doc_id").alias(i), F.xxhash64("text").alias(t), masked("text", "spans").alias(clean))
-    out = docs.join(changed, (F.col("doc_id").cast("long").eqNullSafe(F.col(i))) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "left")
+    changed = settle(found.select(F.col("doc_id").alias(i), F.xxhash64("text").alias(t), masked("text", "spans").alias(clean)), shared_dir(docs.sparkSession))
+    own = F.xxhash64(F.col("text").cast("string"))
+    maybe = likely_in(changed, t)(own)  # only these go through the join, with their texts
+    out = docs.where(maybe).join(changed, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (own == F.col(t)), "left")
     new = {"text": F.coalesce(clean, "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(clean).isNotNull(), F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return docs.where(~maybe).unionByName(out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns)))
