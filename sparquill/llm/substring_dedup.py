@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, placed_words, settle, shared_dir, text_slices, words_by_letters
+from .common import likely_in, mix, placed_words, settle, shared_dir, text_slices, words_by_letters
 
 SPANS = "doc_id long, text_hash long, hash long, first int, last int"
 
@@ -92,8 +92,8 @@ def remove_repeats(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
 
     Words are compared without case (A-Z) and ASCII punctuation; what is removed runs
     from a sentence's first word to the next one's, so punctuation goes with the
-    sentence before it. Null texts have no sentences. Rows equal in doc_id and text are
-    one document; doc_id null comes before others. Other columns are ignored. An empty
+    sentence before it. Null texts have no sentences. Rows equal in doc_id and text count
+    as one document, and each has its row; doc_id null comes before others. Other columns are ignored. An empty
     table gives an empty result.
     """
     base = shared_dir(docs.sparkSession)
@@ -101,7 +101,8 @@ def remove_repeats(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
     ranges = repeated_spans(docs, how).groupBy("doc_id", "text_hash").agg(F.min("first_doc_id").alias("first_doc_id"), F.sort_array(over).alias("gone"))
     ranges = settle(ranges, f"{base}/ranges")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).where("text is not null")
-    hit = rows.join(ranges.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "h"), F.expr("doc_id <=> id and text_hash = h")).select("doc_id", "first_doc_id", "text", "gone").dropDuplicates(["doc_id", "text"])
+    rows = rows.where(likely_in(ranges, "text_hash")(F.col("text_hash")))  # few other texts go through the join
+    hit = rows.join(ranges.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "h"), F.expr("doc_id <=> id and text_hash = h")).select("doc_id", "first_doc_id", "text", "gone")
 
     @F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("words", T.LongType()), T.StructField("text", T.StringType())]))
     def cleaned(texts, gone):
