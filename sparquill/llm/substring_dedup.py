@@ -80,6 +80,8 @@ def repeated_spans(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "first")
     # The least place is a partial aggregate, so a span of very many documents is one row a task.
     known = found.groupBy("hash").agg(F.min(place).alias("place"), F.max(place).alias("other")).where("place <> other").select("hash", "place")
+    # As a written table it is shuffled for the join like the spans, and a hot span is split.
+    known = settle(known, shared_dir(docs.sparkSession))
     return found.join(known, "hash").where(place != F.col("place")).select("doc_id", "text_hash", "hash", "first", "last", F.col("place.doc_id").alias("first_doc_id"))
 
 
