@@ -110,10 +110,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return placed_words(data, offsets, _IS_WHITE)[:2]
 
 
-def placed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, ...]:
+def placed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray, begins: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """As word_hashes, for words that bytes marked in `between` separate; also first bytes and ends.
 
-    A word's hash is a polynomial over its bytes, taken from prefix sums.
+    Words begin at the places `begins`, too, with nothing between them and what is before. A word's hash is a polynomial over its bytes, taken from prefix sums.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -121,11 +121,15 @@ def placed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) ->
     first = np.empty(len(data), bool)
     first[0], first[1:] = True, white[:-1]
     first[offsets[:-1][offsets[:-1] < len(data)]] = True  # a row's first byte
+    if begins is not None:
+        first[begins] = True
     starts = np.flatnonzero(first & ~white)
     last = np.empty(len(data), bool)
     last[-1], last[:-1] = True, white[1:]
     ends = offsets[1:]
     last[ends[ends > 0] - 1] = True
+    if begins is not None:
+        last[begins[begins > 0] - 1] = True
     stops = np.flatnonzero(last & ~white) + 1
     up, down = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -141,6 +145,42 @@ def words_by_letters() -> np.ndarray:
     return between
 
 
+#: Sentence marks and white space beyond ASCII.
+_MARKS = "。！？｡．…‼⁇⁈⁉؟۔।॥።፧။៕։܀"
+_SPACES = "\u00a0\u0085\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_PLAIN = {c.encode(): ord(x) for own, x in ((_MARKS, "."), (_SPACES, " "), ("\u2028\u2029", "\n")) for c in own}
+_LEADS = np.zeros(256, bool)
+_LEADS[[c[0] for c in _PLAIN]] = True
+
+
+def plain_marks(data: np.ndarray) -> np.ndarray:
+    """UTF-8 in which the bytes of sentence marks, spaces and line ends beyond ASCII are . or space or \\n; of the same length."""
+    at = np.flatnonzero(_LEADS[data])
+    if not len(at):
+        return data
+    padded = np.append(data, np.zeros(2, np.uint8)).astype(np.uint32)
+    two = padded[at] << 8 | padded[at + 1]
+    three = two << 8 | padded[at + 2]
+    out = data.copy()
+    for c, plain in _PLAIN.items():
+        for k in range(len(c)):
+            out[at[(two if len(c) == 2 else three) == int.from_bytes(c)] + k] = plain
+    return out
+
+
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where a Han or kana character begins in UTF-8, or the character after one: these scripts have no spaces."""
+    at = np.flatnonzero((data >= 0xE3) & (data <= 0xF0))
+    if not len(at):
+        return at
+    padded = np.append(data, np.zeros(1, np.uint8))
+    lead, second = data[at], padded[at + 1]
+    han = (lead >= 0xE4) & (lead <= 0xE9) | (lead == 0xE3) & (second >= 0x81) & (second != 0x84) & (second != 0x85) & (second != 0x86)
+    han |= (lead == 0xEF) & (second >= 0xA4) & (second <= 0xAB) | (lead == 0xF0) & (second >= 0xA0) & (second <= 0xB3)
+    both = np.concatenate([at[han], at[han] + np.where(lead[han] == 0xF0, 4, 3)])
+    return both[both < len(data)]
+
+
 def hash_of(word: str) -> int:
     """The hash that word_hashes gives a word."""
     data = np.frombuffer(word.encode(), np.uint8)

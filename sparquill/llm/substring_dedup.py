@@ -1,8 +1,11 @@
 """Substring deduplication with sliding spans of sentences.
 
-Sentences end at . ! ? or a line's end, and are cut further every `cut` words. From
-every sentence a span runs over as many consecutive sentences as make `sentences` and
-`words` at least. Spans are hashed and joined over the whole corpus; of equal spans the
+Sentences end at . ! ? (or another script's mark) or a line's end. They are cut further
+where a word's hash is the least of `window` words in a row, so cuts depend on words
+and not on places, and each window inside a sentence has one. From every sentence a
+span runs over as many consecutive sentences as make `sentences` and `words` at least.
+Two texts that share words + 3 * window - 2 words in a row (51) share a span, wherever
+these words start in either. Spans are hashed and joined over the whole corpus; of equal spans the
 first in order of doc_id and place stays, and every sentence under any other one is
 removed.
 """
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import likely_in, mix, placed_words, settle, shared_dir, text_slices, words_by_letters
+from .common import likely_in, mix, placed_words, plain_marks, settle, shared_dir, text_slices, unspaced, words_by_letters
 
 SPANS = "doc_id long, text_hash long, hash long, first int, last int"
 
@@ -27,20 +30,33 @@ SPANS = "doc_id long, text_hash long, hash long, first int, last int"
 class Spans:
     sentences: int = 2
     words: int = 20
-    cut: int = 16
+    window: int = 11
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray, cut: int) -> tuple[np.ndarray, ...]:
+def least_of(words: np.ndarray, heads: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least hash (the last of equal ones) of every `window` words in a row between two heads."""
+    if len(words) < window:
+        return np.zeros(0, np.int64)
+    inside = np.repeat(np.append(heads[1:], len(words)), np.diff(np.append(heads, len(words))))  # where a word's sentence ends
+    at = np.flatnonzero(np.arange(len(words)) + window <= inside)
+    key = words & np.uint64(~63 & (1 << 64) - 1)
+    least = np.full(len(at), (1 << 64) - 1, np.uint64)
+    for j in range(window):
+        np.minimum(least, key[at + j] | np.uint64(window - 1 - j), out=least)
+    return at + (window - 1) - (least & np.uint64(63)).astype(np.int64)
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Of a run of texts: word hashes, their bounds by row, first bytes and ends, and for each word whether a sentence begins there."""
-    words, bounds, starts, stops = placed_words(data, offsets, words_by_letters())
+    data = plain_marks(data)
+    words, bounds, starts, stops = placed_words(data, offsets, words_by_letters(), unspaced(data))
     fresh = np.ones(len(words), bool)
     if len(words):
         ends = np.zeros(len(data) + 1, np.int64)
         np.cumsum(np.isin(data, np.frombuffer(b".!?\n", np.uint8)), out=ends[1:])
         fresh[1:] = ends[starts[1:]] > ends[stops[:-1]]
         fresh[bounds[:-1][bounds[:-1] < len(words)]] = True
-        at = np.arange(len(words))
-        fresh |= (at - np.maximum.accumulate(np.where(fresh, at, 0))) % cut == 0
+        fresh[least_of(words, np.flatnonzero(fresh), window)] = True
     return words, bounds, starts, stops, fresh
 
 
@@ -63,7 +79,7 @@ def sentence_spans(docs: DataFrame, how: Spans) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in text_slices(batch, "text"):
-                words, bounds, _, _, fresh = sentences(data, offsets, how.cut)
+                words, bounds, _, _, fresh = sentences(data, offsets, how.window)
                 found = [spans(words[a:b], np.flatnonzero(fresh[a:b]), how) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
                 own = [batch.column(k).slice(row, len(found)).take(pa.array(rows)) for k in (0, 2)]
@@ -79,7 +95,8 @@ def repeated_spans(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
     found = sentence_spans(docs, how)
     place = F.struct("doc_id", "text_hash", "first")
     # The least place is a partial aggregate, so a span of very many documents is one row a task.
-    known = found.groupBy("hash").agg(F.min(place).alias("place"), F.max(place).alias("other")).where("place <> other").select("hash", "place")
+    # Of copies of a row all count here, but none has another place than the least.
+    known = found.groupBy("hash").agg(F.min(place).alias("place"), F.count("*").alias("rows")).where("rows > 1").select("hash", "place")
     # As a written table it is shuffled for the join like the spans, and a hot span is split.
     known = settle(known, shared_dir(docs.sparkSession))
     return found.join(known, "hash").where(place != F.col("place")).select("doc_id", "text_hash", "hash", "first", "last", F.col("place.doc_id").alias("first_doc_id"))
@@ -92,9 +109,10 @@ def remove_repeats(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
     document itself if it repeats its own), n_sentences, n_removed, removed_words
     (long), text.
 
-    Words are compared without case (A-Z) and ASCII punctuation; what is removed runs
-    from a sentence's first word to the next one's, so punctuation goes with the
-    sentence before it. Null texts have no sentences. Rows equal in doc_id and text count
+    Words are compared without case (A-Z) and punctuation (ASCII and other scripts'
+    sentence marks); each Han or kana character is a word. What is removed runs from a
+    sentence's first word to the next one's, so punctuation goes with the sentence
+    before it. Null texts have no sentences. Rows equal in doc_id and text count
     as one document, and each has its row; doc_id null comes before others. Other columns are ignored. An empty
     table gives an empty result.
     """
@@ -113,7 +131,7 @@ def remove_repeats(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
         out = []
         for body, own in zip(texts, gone, strict=True):
             raw = body.encode()
-            words, _, starts, _, fresh = sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), how.cut)
+            words, _, starts, _, fresh = sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), how.window)
             heads = np.flatnonzero(fresh)
             edges = np.append(starts[heads], len(raw))
             keep = np.ones(len(heads), bool)

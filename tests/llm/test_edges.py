@@ -100,6 +100,32 @@ def test_substring(spark, mixed, none):
     assert {r["doc_id"] for r in substring_dedup.remove_repeats(mixed).collect()} == {1, 2}  # null comes first
 
 
+def test_substring_without_marks(spark):
+    """51 words without marks are found at every offset, and passages with marks or spaces of other scripts."""
+    import numpy as np
+
+    marks = {"": " ", "danda": "। ", "nbsp": "\u00a0"}
+    rows, n = [], 0
+    for k in range(16):
+        for mark in marks.values():
+            passage = mark.join(f"p{n}x{i}" for i in range(51))
+            rows += [(2 * n, " ".join(f"a{n}x{i}" for i in range(3)) + f" {passage} " + " ".join(f"b{n}x{i}" for i in range(k)), "a"), (2 * n + 1, " ".join(f"c{n}x{i}" for i in range(k)) + f" {passage} " + " ".join(f"d{n}x{i}" for i in range(5)), "a")]
+            n += 1
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    rows += [(2 * n, f"\u6211\u5011{han}", "a"), (2 * n + 1, f"\u4ed6{han}\u3002\u5b8c", "a")]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert sorted(got) == list(range(1, 2 * n + 2, 2)) and all(r["first_doc_id"] == i - 1 and r["removed_words"] >= 20 for i, r in got.items())
+    how, rng = substring_dedup.Spans(), np.random.default_rng(5)
+    for _ in range(300):  # any mixture of marks, in any surroundings
+        middle = "".join(f"m{i}{'. ' if rng.random() < rng.choice([0, 0.1, 0.3]) else ' '}" for i in range(51))
+        own = []
+        for side in "ab":
+            before, after = ("".join(f"{side}{j}{i} " for i in range(rng.integers(0, 20))) for j in "xy")
+            words, _, _, _, fresh = substring_dedup.sentences(np.frombuffer((t := (before + middle + after).encode()), np.uint8), np.array([0, len(t)]), how.window)
+            own.append(set(substring_dedup.spans(words, np.flatnonzero(fresh), how)[0].tolist()))
+        assert own[0] & own[1]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a<|im_end|>\\"), (1, 1, "user", None), (1, 2, "assistant", "x\\n<|"), (None, None, None, "t"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y"), (2, 0, "a\n<|im_next|>\\n", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
