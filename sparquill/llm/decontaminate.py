@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, hash_of, in_bitmap, mix, placed_words, settle, shared_dir, text_slices, unused, without, words_by_letters
+from .common import bitmap, hash_of, in_bitmap, mix, placed_words, settle, shared_dir, text_slices, unspaced, unused, without, words_by_letters
 
 #: Units that make a placeholder after a number.
 UNITS = "mm cm m km in ft mi mg g kg lb oz t ml l s sec seconds min minutes h hours days weeks months years percent usd eur dollars euros cents meters metres kilometers kilograms grams liters litres miles degrees watts volts".split()
@@ -39,16 +39,16 @@ class Match:
     share: int = 30
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per row: the template's tokens, and for each placeholder its value (0 for literals)."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per row: the template's tokens, for each placeholder its value (0 for literals), and the words as they are."""
     between = words_by_letters()
     folded = data.copy()  # placed_words folds A-Z; in UTF-8 this folds the capitals of Latin-1
     accented = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
     folded[1:][accented] += 0x20
-    words, bounds, starts, stops = placed_words(folded, offsets, between)
+    words, bounds, starts, stops = placed_words(folded, offsets, between, unspaced(data))
     if not len(words):
         for _ in range(len(offsets) - 1):
-            yield words, words
+            yield words, words, words
         return
     first = data[starts]
     number = (first >= 48) & (first <= 57)
@@ -69,13 +69,13 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
     kind = np.select([number, name, unit], [NUMBER, NAME, UNIT], np.uint64(0))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if a == b:
-            yield words[:0], words[:0]
+            yield words[:0], words[:0], words[:0]
             continue
         k, w = kind[a:b], words[a:b]
         heads = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (k[1:] == 0)])
         values = np.add.reduceat(mix(w + np.arange(len(w), dtype=np.uint64) - np.repeat(heads, np.diff(np.r_[heads, len(w)])).astype(np.uint64)), heads)
         k = k[heads]
-        yield np.where(k == 0, w[heads], k), np.where(k == 0, np.uint64(0), values)
+        yield np.where(k == 0, w[heads], k), np.where(k == 0, np.uint64(0), values), w
 
 
 def windows(tokens: np.ndarray, values: np.ndarray, size: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,21 +102,29 @@ def _rows(ids: list, hashes: list, at: list, slots: list, sizes: list) -> pa.Rec
     )
 
 
-def _windows(table: DataFrame, key: str, sizes_of, known=None) -> DataFrame:
-    """id, hash, at, slots, size of the windows of whole texts; with `known` of those in its map only."""
+def item_size(tokens: np.ndarray, values: np.ndarray, words: np.ndarray, how: Match) -> list[int]:
+    """Of an item the size of its windows: of its template, or, negative, of its words as they are if the template has no window with enough literals."""
+    size = min(how.window, len(tokens))
+    if size >= how.literal and len(windows(tokens, values, size, how.literal)[0]):
+        return [size]
+    return [-min(how.window, len(words))] if len(words) else []
+
+
+def _windows(table: DataFrame, key: str, how: Match, sizes: list[int] | None = None, known=None) -> DataFrame:
+    """id, hash, at, slots, size of the windows of whole texts: of `sizes` and in the map of `known`, or else those that items have."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in text_slices(batch, "text"):
                 ids, out = batch.column(0).slice(row, len(offsets) - 1).to_pylist(), ([], [], [], [], [])
-                for one, (tokens, values) in zip(ids, canonical(data, offsets), strict=True):
-                    for size, literal in sizes_of(len(tokens)):
-                        hashes, at = windows(tokens, values, size, literal)
+                for one, (tokens, values, words) in zip(ids, canonical(data, offsets), strict=True):
+                    for size in item_size(tokens, values, words, how) if sizes is None else sizes:
+                        hashes, at = windows(tokens, values, size, how.literal) if size > 0 else windows(words, words, -size, 0)
                         if known is not None and len(hashes):
                             keep = in_bitmap(known.value, hashes >> np.uint64(64 - MAP_BITS))
                             hashes, at = hashes[keep], at[keep]
                         if len(hashes):
-                            for x, y in zip(out, (one, hashes, at, [values[p : p + size] for p in at], size), strict=True):
+                            for x, y in zip(out, (one, hashes, at, [values[p : p + max(size, 0)] for p in at], size), strict=True):
                                 x.append(y)
                 yield _rows(*out)
 
@@ -132,17 +140,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Match = Match()) ->
     (all slots have the item's own values), at (the first matching token).
 
     An item of fewer tokens than a window is a window by itself, if it has how.literal
-    literals; still shorter ones are never found. Null texts hold nothing, rows without
+    literals. Items without any window of so many literals are found by their words as
+    they are, without placeholders: in windows of how.window words, or as a whole if
+    shorter, and `at` counts words. Items without words are never found. Null texts hold nothing, rows without
     id are left out, rows that repeat an id count as one. Other columns are ignored.
     Empty tables give an empty result.
     """
     spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
-    w = how.window
-    items = settle(_windows(benchmark, "item_id", lambda n: [(w, how.literal)] if n >= w else [(n, how.literal)] if n >= how.literal else []), f"{base}/items")
+    items = settle(_windows(benchmark, "item_id", how), f"{base}/items")
     items = items.select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "size")
-    sizes = [(r["size"], how.literal) for r in items.select("size").distinct().collect()]  # at most window - literal + 1
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most 2 * window - literal + 1
     known = spark.sparkContext.broadcast(bitmap(items.select(F.shiftrightunsigned("hash", 64 - MAP_BITS).alias("slot")), MAP_BITS)[0])
-    found = _windows(docs, "doc_id", lambda n: sizes, known).withColumnRenamed("id", "doc_id")
+    found = _windows(docs, "doc_id", how, sizes, known).withColumnRenamed("id", "doc_id")
     met = settle(found.join(items, ["hash", "size"]), f"{base}/met")
     line = ["doc_id", "item_id", "shift"]
     met = met.withColumn("shift", F.col("at") - F.col("item_at"))

@@ -166,3 +166,13 @@ def test_pii(spark, mixed, none):
     assert got[9] == "ip:69:78,card:10:29,phone:33:51,term:0:7" and got[8] == "" and got[1].startswith("email:20:40,term:0:7")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(rows, data).collect()}
     assert clean[9] == " é <CARD> or <PHONE> or 10.0.0.256 or <IP>" and clean[1].startswith(" called from <EMAIL> today")
+
+
+def test_decontaminate_dense_items(spark):
+    """Items full of numbers and names, very short ones and ones without spaces are found verbatim."""
+    items = ["What is 12 * 34 + 56?", "Solve for x: 3x + 5 = 20", "Is Paris north of Rome?", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "\u6c34\u306e\u6cb8\u70b9\u306f\u4f55\u5ea6\u3067\u3059\u304b"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    near = ["What is 12 * 34 + 57?", "Solve for x: 3x + 5 = 21", "Is Rome north of Paris?", "3 1 2 5 4", "\u6c34\u306e\u878d\u70b9\u306f\u4f55\u5ea6\u3067\u3059\u304b"]
+    rows = docs(spark, [(i, f"He asked 7 {x} 40 Then More\u6211", "a") for i, x in enumerate(items)] + [(10 + i, f"He asked 7 {x} 40 Then More", "a") for i, x in enumerate(near)])
+    got = found(decontaminate.contaminated(rows, bench), "doc_id", "item_id", "exact")
+    assert [x for x in got if x[0] != 14] == [(i, i, True) for i in range(5)]
