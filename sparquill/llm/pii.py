@@ -1,9 +1,9 @@
 """Personal data, and terms that reveal it, with DataFrame expressions only.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected
-entities. The corpus then tells how strongly a term reveals one. For the terms next
-to mentions of an entity e, with c(t, e) the texts where t stands next to e, df(t)
-the texts that hold t anywhere and df(e) those that mention e, of N,
+entities. The corpus then tells how strongly a term reveals one. For the terms of texts
+that mention an entity e, with c(t, e) the texts that hold t and mention e, df(t) the
+texts that hold t and df(e) those that mention e, of N,
 
     P(e | t) = c / df(t)         PMI(t, e) = log2(c N / (df(t) df(e)))
 
@@ -36,12 +36,11 @@ _CHUNK = 64
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Thresholds for terms: texts with term and entity, P(e | t), PMI in bits, words on either side."""
+    """Thresholds for terms: texts with term and entity, P(e | t), PMI in bits."""
 
     texts: int = 3
     probability: float = 0.5
     bits: float = 4.0
-    words: int = 6
 
 
 def _let(value: Column, use) -> Column:
@@ -117,30 +116,37 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
-def _mentions(kind: str, words: int) -> Column:
-    """Per span of a kind the entity, and the text next to it: so many words on either side."""
+def _mentions(kind: str) -> Column:
+    """Per span of a kind the entity and the matched text."""
     spoken = {"email": F.lower, "ip": lambda m: m}.get(kind, lambda m: F.regexp_replace(m, r"[\x20().-]", ""))
-    near = lambda x: F.concat_ws(" ", F.substring_index(x["before"], " ", -words), F.substring_index(x["after"], " ", words))
-    return F.transform(F.col(kind), lambda x: F.struct(F.concat(F.lit(f"{kind}:"), spoken(x["m"])).alias("entity"), _terms(near(x)).alias("terms")))
+    return F.transform(F.col(kind), lambda x: F.struct(F.concat(F.lit(f"{kind}:"), spoken(x["m"])).alias("entity"), x["m"].alias("m")))
 
 
-def disclosing_terms(mentions: DataFrame, rows: DataFrame, how: Disclosure, base: str) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(found: DataFrame, rows: DataFrame, how: Disclosure, base: str) -> tuple[DataFrame, DataFrame]:
     """(term, entity, c, df_term, df_entity) of the terms that disclose an entity, and where candidates occur: (t, term).
 
-    mentions (t, entity, terms) and rows (t, text) are of all texts, t being a text's
-    hash; equal texts count once.
+    found (t, mentions: array<struct<entity, m>>) and rows (t, text) are of all texts, t
+    being a text's hash; equal texts count once. Words of a mention itself aren't terms
+    next to it.
     """
-    near = mentions.select("t", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("c")).where(F.col("c") >= how.texts)
-    # Texts with the term next to any entity are at most df(t), so they rule out most common terms.
-    df_near = near.select("t", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
+    said = settle(found.select("t", F.explode("mentions.entity").alias("entity")).distinct(), f"{base}/said")
+    with_entity = said.groupBy("entity").agg(F.count("*").alias("df_entity"))
+    # c(t, e) is at most df(e), so an entity of fewer texts can have no term.
+    often = settle(with_entity.where(F.col("df_entity") >= how.texts), f"{base}/often")
+    said = settle(said.join(often.select("entity"), "entity", "left_semi"), f"{base}/often_said")
+    own = F.array_join(F.transform(F.sort_array(F.array_distinct("mentions.m"), asc=False), lambda m: F.concat(F.lit("\\Q"), m, F.lit("\\E"))), "|")
+    heard = found.where(F.size("mentions") > 0).join(said.select("t").distinct(), "t", "left_semi").select("t", own.alias("own"))
+    texts = rows.where(likely_in(said, "t")(F.col("t"))).join(heard.dropDuplicates(["t"]), "t").dropDuplicates(["t"])
+    # df(t) is known in the texts with entities first, and can only grow by the others.
+    near = settle(texts.select("t", F.explode(_terms(F.regexp_replace("text", F.col("own"), F.lit(" ")))).alias("term")), f"{base}/near")
+    df_near = near.groupBy("term").agg(F.count("*").alias("df_near")).where(F.col("df_near") >= how.texts)
+    pairs = near.join(said, "t").groupBy("term", "entity").agg(F.count("*").alias("c")).where(F.col("c") >= how.texts)
     pairs = settle(pairs.join(df_near, "term").where(F.col("c") >= how.probability * F.col("df_near")).drop("df_near"), f"{base}/pairs")
-    with_entity = mentions.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     wanted = settle(pairs.select("term").distinct(), f"{base}/wanted")
     held = rows.select("t", F.explode(F.filter(_terms(F.col("text")), likely_in(wanted, "term"))).alias("term")).join(wanted, "term", "left_semi")
     held = settle(held.select("t", "term").distinct(), f"{base}/held")
     n = rows.select("t").distinct().count()
-    figures = pairs.join(held.groupBy("term").agg(F.count("*").alias("df_term")), "term").join(with_entity, "entity").withColumn("n_texts", F.lit(n))
+    figures = pairs.join(held.groupBy("term").agg(F.count("*").alias("df_term")), "term").join(often, "entity").withColumn("n_texts", F.lit(n))
     strong = (F.col("c") >= how.probability * F.col("df_term")) & (F.log2(F.col("c") * F.col("n_texts") / (F.col("df_term") * F.col("df_entity"))) >= how.bits)
     return settle(figures.where(strong).select("term", "entity", "c", "df_term", "df_entity"), f"{base}/disclosing"), held
 
@@ -159,10 +165,9 @@ def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     text = null_safe_text().cast("string")
     rows = docs.select("doc_id", text.alias("text")).withColumn("t", F.xxhash64("text"))
     bare = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
-    found = entities(rows).select("doc_id", "t", *(bare(F.col(k)).alias(k) for k in PATTERNS), F.concat(*(_mentions(k, how.words) for k in PATTERNS)).alias("mentions"))
+    found = entities(rows).select("doc_id", "t", *(bare(F.col(k)).alias(k) for k in PATTERNS), F.concat(*(_mentions(k) for k in PATTERNS)).alias("mentions"))
     found = settle(found, f"{base}/found")
-    mentions = found.select("t", F.explode("mentions").alias("x")).select("t", "x.entity", "x.terms")
-    strong, held = disclosing_terms(mentions, rows, how, base)
+    strong, held = disclosing_terms(found, rows, how, base)
     terms = settle(strong.select("term").distinct(), f"{base}/terms")
     flagged = held.join(terms, "term", "left_semi").groupBy("t").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     flagged = settle(flagged, f"{base}/flagged")

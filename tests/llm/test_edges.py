@@ -168,6 +168,14 @@ def test_pii(spark, mixed, none):
     assert clean[9] == " é <CARD> or <PHONE> or 10.0.0.256 or <IP>" and clean[1].startswith(" called from <EMAIL> today")
 
 
+def test_pii_far_terms(spark):
+    """A term in the greeting discloses the address in the signature, however much stands between."""
+    filler = " ".join(["many", "plain", "words", "of", "a", "letter"] * 20)
+    rows = docs(spark, [(i, f"Dear Quixada, number {i}. {filler}. Yours, box@mail.example.org", "a") for i in range(4)] + [(50 + i, f"Dear reader, number {i}. {filler}. Yours, the office", "a") for i in range(120)])
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.personal_data(rows)).collect()}
+    assert all(got[i].endswith(",term:5:12") for i in range(4)) and all(got[50 + i] == "" for i in range(120))
+
+
 def test_decontaminate_dense_items(spark):
     """Items full of numbers and names, very short ones and ones without spaces are found verbatim."""
     items = ["What is 12 * 34 + 56?", "Solve for x: 3x + 5 = 20", "Is Paris north of Rome?", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "\u6c34\u306e\u6cb8\u70b9\u306f\u4f55\u5ea6\u3067\u3059\u304b"]
