@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,26 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: At most so many words are remembered with their ids.
 WORDS = 200_000
 _RUN = re.compile(r"\s\s|\s$")
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple, object] = {}
 
 
-def encoder(path: str):
+def control_strings(tokenizer_path: str) -> dict[str, int]:
+    """The added tokens of a `tokenizers` file: strings that are one id wherever a text holds them."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str, control: Mapping[str, int] | None = None):
     """A function from a text to its ids, for a file of byte-level BPE ranks.
 
-    Control strings in a text are ordinary text. Where single spaces separate words,
-    the ids of a text are those of its words, each with the space before it: they are
-    remembered, and other texts are encoded whole.
+    A text is cut at the strings of `control`, which have ids of their own; without them
+    they are ordinary text. Where single spaces separate words, the ids of a part are
+    those of its words, each with the space before it: they are remembered, and other
+    parts are encoded whole.
     """
-    if path not in _encoders:
+    own = dict(control or {})
+    key = (path, *sorted(own.items()))
+    if key not in _encoders:
         import public_tokenizers
         import tiktoken
 
@@ -48,7 +58,7 @@ def encoder(path: str):
         whole = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         known: dict[str, list[int]] = {}
 
-        def encode(text: str) -> list[int]:
+        def plain(text: str) -> list[int]:
             if _RUN.search(text):
                 return whole(text)
             if len(known) > WORDS:
@@ -64,8 +74,18 @@ def encoder(path: str):
                 ids += own
             return ids
 
-        _encoders[path] = encode
-    return _encoders[path]
+        if not own:
+            _encoders[key] = plain
+            return plain
+        cuts = re.compile("(" + "|".join(re.escape(c) for c in sorted(own, key=len, reverse=True)) + ")")
+
+        def encode(text: str) -> list[int]:
+            if not any(c in text for c in own):
+                return plain(text)
+            return [i for k, part in enumerate(cuts.split(text)) for i in ([own[part]] if k % 2 else plain(part))]
+
+        _encoders[key] = encode
+    return _encoders[key]
 
 
 def differencing(sizes: list[int], m: int) -> list[list[int]]:
@@ -91,14 +111,14 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         m += 1
 
 
-def pack(docs: DataFrame, ranks_path: str, capacity: int = 2048, piece: int = 512, batch: int = 256, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, capacity: int = 2048, piece: int = 512, batch: int = 256, end_id: int = 1, control: Mapping[str, int] | None = None) -> DataFrame:
     """Pieces of the token sequences of docs (doc_id, text), and where each is packed.
 
     Returns per piece: doc_id, start, length, ids_crc32 (of little-endian unsigned
     32-bit ids), doc_tokens (with end_id), sequence_id, offset. Every id of a document
     lies in one piece; the pieces of a sequence have no gaps from offset 0. Sequences
     hold at most `capacity` tokens and are to be padded to that, except where their
-    length is a power of two.
+    length is a power of two. Strings in `control` are encoded as the ids given there.
 
     A null text is empty, and is end_id alone. Null or repeated doc_ids are packed
     like others, a row at a time. Other columns are ignored. An empty table gives an
@@ -106,7 +126,7 @@ def pack(docs: DataFrame, ranks_path: str, capacity: int = 2048, piece: int = 51
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sequence = encoder(ranks_path), TaskContext.get().partitionId() << 40
+        encode, sequence = encoder(ranks_path, control), TaskContext.get().partitionId() << 40
         rest: list[tuple] = []
         out: list[tuple] = []
 

@@ -20,6 +20,13 @@ def ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def control() -> dict[str, int]:
+    """The strings that byte_bpe_50k.json encodes as one id."""
+    import public_tokenizers
+
+    return packing.control_strings(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, threshold=85)
 
@@ -54,7 +61,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), ranks(), capacity=SEQUENCE)
+    return packing.pack(table(spark, sf_dir, "documents"), ranks(), capacity=SEQUENCE, control=control())
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

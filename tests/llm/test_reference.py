@@ -169,7 +169,6 @@ def test_packing(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by, sequences = defaultdict(list), defaultdict(list)
     for r in queries.op8_packing(spark, sf_dir).collect():
         by[r["doc_id"]].append(r)
@@ -190,7 +189,7 @@ def test_packing(spark, sf_dir, texts):
         assert at <= 2048
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b", "a\n\nb c", "a b\n", " a b", "a\tb c", "it's  x'll 12ab", "é ü x y", "x  y", "<|endoftext|> a"])
+@pytest.mark.parametrize("text", ["", " ", "a  b", "a\n\nb c", "a b\n", " a b", "a\tb c", "it's  x'll 12ab", "é ü x y", "x  y", "<|endoftext|> a", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "a <|endoftext|  > b"])
 def test_encoder(text):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -198,6 +197,7 @@ def test_encoder(text):
     from sparquill.llm.packing import encoder
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder(queries.ranks(), queries.control())(text) == tokenizer.encode(text, add_special_tokens=False).ids
     tokenizer.encode_special_tokens = True
     assert encoder(queries.ranks())(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
