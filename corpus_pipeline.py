@@ -35,7 +35,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of 2048: a row per piece."""
-    return packing.pack(docs, queries.ranks(), capacity=queries.SEQUENCE)
+    return packing.pack(docs, queries.ranks(), capacity=queries.SEQUENCE, control=queries.control())
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("secrets", secrets), ("packing", pack)]
