@@ -86,8 +86,10 @@ def test_decontaminate(spark, mixed, none):
     bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (None, item, 0), (3, "too short", 0)], "item_id long, text string, hash int")
     rows = docs(spark, [(10, f"Before this. {item} After it.", "a"), (11, f"Some words first. {other}", "a"), (12, "Nothing of that kind is in here at all, only other words.", "a"), (None, item, "a"), (13, None, "a"), (14, broken, "a")])
     got = found(decontaminate.contaminated(rows, bench), "doc_id", "item_id", "exact")
-    assert got[:2] == [(10, 1, True), (11, 1, False)] and all(d != 12 for d, _, _ in got)
-    assert [d for (d,) in found(decontaminate.clean_documents(rows, bench), "doc_id") if d in (10, 11, 12, 13)] == [12, 13]
+    assert got == sorted([(10, 1, True), (11, 1, False), (None, 1, True)], key=repr)  # 14: one value stands for three of the item's
+    assert found(decontaminate.clean_documents(rows, bench), "doc_id") == [(12,), (13,), (14,)]
+    twice = docs(spark, [(1, item, "a"), (1, "Other words under the same id stay as they are.", "a"), (1, item, "a"), (None, "No item in here.", "a")])
+    assert found(decontaminate.clean_documents(twice, bench), "doc_id", "text") == sorted([(1, "Other words under the same id stay as they are."), (None, "No item in here.")], key=repr)
     assert decontaminate.contaminated(none, bench).count() == decontaminate.contaminated(mixed, bench.where("item_id = -1")).count() == 0
 
 
@@ -184,3 +186,59 @@ def test_decontaminate_dense_items(spark):
     rows = docs(spark, [(i, f"He asked 7 {x} 40 Then More\u6211", "a") for i, x in enumerate(items)] + [(10 + i, f"He asked 7 {x} 40 Then More", "a") for i, x in enumerate(near)])
     got = found(decontaminate.contaminated(rows, bench), "doc_id", "item_id", "exact")
     assert [x for x in got if x[0] != 14] == [(i, i, True) for i in range(5)]
+
+
+def test_decontaminate_variants(spark):
+    """Planted copies, variants with other numbers and names, partial copies and broken variants against a table of made-up items."""
+    import random
+
+    r = random.Random(4)
+    plain = [f"{a}{b}" for a in "ba co di fu ge lo mi ra su te".split() for b in "lk nd rt sm vo xi".split()]
+    names = "Anna Boris Carla Dora Emil Fritz Gina Hugo Ivan Jule Karl Lena Mara Nils Otto Paul".split()
+
+    def item(dense):
+        """Words with slots {0}, {1} ...: numbers and names, some of them twice; if dense, two or three in every window."""
+        words = [r.choice(plain) for _ in range(r.randint(18, 60))]
+        slots, at = [], r.randint(3, 6)
+        while at < len(words):
+            again = slots and r.random() < 0.25
+            k = r.randrange(len(slots)) if again else len(slots)
+            if not again:
+                slots.append(r.choice(["number", "name"]))
+            words[at] = f"{{{k}}}"
+            at += 3 if dense else r.randint(4, 9)
+        return " ".join(words) + "?", slots
+
+    def values(slots):
+        number, name = iter(r.sample(range(2, 900), len(slots))), iter(r.sample(names, min(len(slots), len(names))))
+        return [str(next(number)) if k == "number" else next(name) for k in slots]
+
+    items = [item(k % 2) for k in range(60)]
+    own = [values(s) for _, s in items]
+    texts = [t.format(*v) for (t, _), v in zip(items, own, strict=True)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    around = lambda x: f"{' '.join(r.choice(plain) for _ in range(30))}. {x} {' '.join(r.choice(plain) for _ in range(30))}."
+    rows = []
+    for k, (t, s) in enumerate(items):
+        rows.append((k, around(texts[k]), "copy"))
+        rows.append((1000 + k, around(t.format(*values(s))), "variant"))
+        half = texts[k].split(" ")
+        rows.append((2000 + k, around(" ".join(half[: 1 + len(half) * 3 // 5])), "part"))
+        if k % 2:  # all numbers one number, all names one name
+            rows.append((3000 + k, around(t.format(*("7" if x == "number" else "Zoe" for x in s))), "broken"))
+    rows += [(4000 + k, around(around("")), "clean") for k in range(200)]
+    kind = {i: x for i, _, x in rows}
+    got = found(decontaminate.contaminated(docs(spark, rows), bench), "doc_id", "item_id")
+    assert all(d % 1000 == i for d, i in got)
+    share = lambda x: sum(kind[d] == x for d, _ in got) / max(1, sum(v == x for v in kind.values()))
+    assert share("copy") == 1 and share("variant") >= 0.95 and share("part") >= 0.95 and share("clean") == 0
+    assert share("broken") <= 0.2
+
+
+def test_decontaminate_probes(spark):
+    """Short and dense items verbatim, and a long item of which one of two equal numbers was changed."""
+    short = ["What is 12 + 7 * 3 - 4 / 2 + 9?", "Who wrote Hamlet, Macbeth?", "Compute 3 km plus 4 km plus 5 kg plus 7 mm now"]
+    long = " ".join(f"w{i}" + (f" {i} " if i in (100, 120) else "") for i in range(212)).replace(" 120 ", " 100 ")
+    bench = spark.createDataFrame(list(enumerate([*short, long])), "item_id long, text string")
+    rows = docs(spark, [(i, f"Some text goes first. {x} And after it.", "a") for i, x in enumerate(short)] + [(3, long.replace(" 100 ", " 55 ", 1), "a")])
+    assert found(decontaminate.contaminated(rows, bench), "doc_id", "item_id") == [(i, i) for i in range(4)]
