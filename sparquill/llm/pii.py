@@ -122,8 +122,8 @@ def _mentions(kind: str) -> Column:
     return F.transform(F.col(kind), lambda x: F.struct(F.concat(F.lit(f"{kind}:"), spoken(x["m"])).alias("entity"), x["m"].alias("m")))
 
 
-def disclosing_terms(found: DataFrame, rows: DataFrame, how: Disclosure, base: str) -> tuple[DataFrame, DataFrame]:
-    """(term, entity, c, df_term, df_entity) of the terms that disclose an entity, and where candidates occur: (t, term).
+def disclosing_terms(found: DataFrame, rows: DataFrame, how: Disclosure, base: str) -> DataFrame:
+    """(term, entity, c, df_term, df_entity) of the terms that disclose an entity.
 
     found (t, mentions: array<struct<entity, m>>) and rows (t, text) are of all texts, t
     being a text's hash; equal texts count once. Words of a mention itself aren't terms
@@ -137,18 +137,24 @@ def disclosing_terms(found: DataFrame, rows: DataFrame, how: Disclosure, base: s
     own = F.array_join(F.transform(F.sort_array(F.array_distinct("mentions.m"), asc=False), lambda m: F.concat(F.lit("\\Q"), m, F.lit("\\E"))), "|")
     heard = found.where(F.size("mentions") > 0).join(said.select("t").distinct(), "t", "left_semi").select("t", own.alias("own"))
     texts = rows.where(likely_in(said, "t")(F.col("t"))).join(heard.dropDuplicates(["t"]), "t").dropDuplicates(["t"])
-    # df(t) is known in the texts with entities first, and can only grow by the others.
     near = settle(texts.select("t", F.explode(_terms(F.regexp_replace("text", F.col("own"), F.lit(" ")))).alias("term")), f"{base}/near")
+    # Equal texts: df counts rows, and takes off the further rows of a text.
+    copied = settle(found.groupBy("t").agg(F.count("*").alias("m")).where("m > 1"), f"{base}/copied")
+    n = found.count() - (copied.agg(F.sum(F.col("m") - 1)).first()[0] or 0)
+    bits = lambda df: F.log2(F.col("c") * n / (F.col(df) * F.col("df_entity")))
+    strong = lambda df: (F.col("c") >= how.probability * F.col(df)) & (bits(df) >= how.bits)
+    # In texts with entities df is known first; in all it is no less, which rules out most terms.
     df_near = near.groupBy("term").agg(F.count("*").alias("df_near")).where(F.col("df_near") >= how.texts)
     pairs = near.join(said, "t").groupBy("term", "entity").agg(F.count("*").alias("c")).where(F.col("c") >= how.texts)
-    pairs = settle(pairs.join(df_near, "term").where(F.col("c") >= how.probability * F.col("df_near")).drop("df_near"), f"{base}/pairs")
+    pairs = settle(pairs.join(df_near, "term").join(often, "entity").where(strong("df_near")).drop("df_near"), f"{base}/pairs")
     wanted = settle(pairs.select("term").distinct(), f"{base}/wanted")
-    held = rows.select("t", F.explode(F.filter(_terms(F.col("text")), likely_in(wanted, "term"))).alias("term")).join(wanted, "term", "left_semi")
-    held = settle(held.select("t", "term").distinct(), f"{base}/held")
-    n = rows.select("t").distinct().count()
-    figures = pairs.join(held.groupBy("term").agg(F.count("*").alias("df_term")), "term").join(often, "entity").withColumn("n_texts", F.lit(n))
-    strong = (F.col("c") >= how.probability * F.col("df_term")) & (F.log2(F.col("c") * F.col("n_texts") / (F.col("df_term") * F.col("df_entity"))) >= how.bits)
-    return settle(figures.where(strong).select("term", "entity", "c", "df_term", "df_entity"), f"{base}/disclosing"), held
+    likely = likely_in(wanted, "term")
+    terms = lambda df, *more: df.select(F.explode(F.filter(_terms(F.col("text")), likely)).alias("term"), *more)
+    once = rows.where(likely_in(copied, "t")(F.col("t"))).groupBy("t").agg(F.first("text").alias("text"), (F.count("*") - 1).alias("more")).where("more > 0")
+    # Counted before they meet the wanted terms, so each task sends a term once.
+    counts = terms(rows).groupBy("term").agg(F.count("*").alias("k")).unionByName(terms(once, F.col("more")).groupBy("term").agg((-F.sum("more")).alias("k")))
+    df = counts.groupBy("term").agg(F.sum("k").alias("df_term")).join(wanted, "term", "left_semi")
+    return settle(pairs.join(df, "term").where(strong("df_term")).select("term", "entity", "c", "df_term", "df_entity"), f"{base}/disclosing")
 
 
 def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
@@ -167,8 +173,8 @@ def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     bare = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
     found = entities(rows).select("doc_id", "t", *(bare(F.col(k)).alias(k) for k in PATTERNS), F.concat(*(_mentions(k) for k in PATTERNS)).alias("mentions"))
     found = settle(found, f"{base}/found")
-    strong, held = disclosing_terms(found, rows, how, base)
-    terms = settle(strong.select("term").distinct(), f"{base}/terms")
+    terms = settle(disclosing_terms(found, rows, how, base).select("term").distinct(), f"{base}/terms")
+    held = rows.select("t", F.explode(F.filter(_terms(F.col("text")), likely_in(terms, "term"))).alias("term"))
     flagged = held.join(terms, "term", "left_semi").groupBy("t").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     flagged = settle(flagged, f"{base}/flagged")
     # Whole words out of a text's own list; only such texts go through the join.
