@@ -130,8 +130,8 @@ l AS (SELECT doc_id, source, text, line, regexp_replace(regexp_replace(lower(lin
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
       FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
-host AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-above AS (SELECT l.source, key FROM l JOIN host ON l.source IS NOT DISTINCT FROM host.source GROUP BY l.source, key, host.n HAVING count(DISTINCT text) >= 20 AND 100 * count(DISTINCT text) > 5 * host.n),
+host AS (SELECT source, count(DISTINCT doc_id) AS n FROM d GROUP BY source),
+above AS (SELECT l.source, key FROM l JOIN host ON l.source IS NOT DISTINCT FROM host.source GROUP BY l.source, key, host.n HAVING count(DISTINCT doc_id) >= 10 AND 100 * count(DISTINCT doc_id) > 2 * host.n),
 gone AS (SELECT doc_id, sum(n) AS n FROM l WHERE EXISTS (SELECT 1 FROM above WHERE above.source IS NOT DISTINCT FROM l.source AND above.key = l.key) GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
@@ -139,6 +139,6 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
       FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN gone USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (100 * (n_words - removed_words) < 20 * n_words) AS kept, removed_words
+       NOT base_failed AND NOT (100 * (n_words - removed_words) < 30 * n_words) AS kept, removed_words
 FROM f""",
 }

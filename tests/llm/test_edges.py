@@ -154,7 +154,8 @@ def test_quality(spark, mixed, none):
     assert quality_rules.quality(none).count() == 0
     line = "a line of nine words that all of them share"
     many = docs(spark, [(i, f"{line}\n" + (f"own{i} " * 2 if i < 30 else " ".join(f"w{i}x{k}" for k in range(12))), "h") for i in range(40)] + [(99, line + " x y z", "other")])
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality(many).collect()}
+    limits = quality_rules.Limits(line_documents=20, line_percent=5, left_percent=20)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality(many, limits).collect()}
     assert kept[35] and not kept[3] and kept[99]
 
 
