@@ -43,3 +43,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
             discard(spark, f"{base}/{old}")
         k += 1
     return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def grown(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (node, component) of a graph to which edges (u, v) are added: only what these join is worked on."""
+    base = shared_dir(edges.sparkSession)
+    for side in ("u", "v"):
+        own = labels.select(F.col("node").alias(side), "component")
+        edges = edges.join(own, side, "left").select(F.coalesce("component", side).alias(side), "v" if side == "u" else "u")
+    more = connected_components(edges)
+    moved = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = more.join(labels.select("node"), "node", "left_anti")
+    return settle(moved.unionByName(fresh), f"{base}/labels")

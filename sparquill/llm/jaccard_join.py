@@ -14,11 +14,18 @@ other (o: the least overlap), so the grams of a prefix hold some that are shared
   prefixes are extended for 2 G, so both form every combination of the finer cut.
 * Sets too small for that (o below 7) meet through plain prefixes, too.
 
+With a signature goes how many grams of the set come before its last one, not counting
+the k - 1 of each class that may be shared without a combination. Two similar sets have
+a first shared signature, and what they can share is at most n less that number, in
+either set. This bounds the sizes of a member's partners in a bucket.
+
 Documents that share a signature are verified, but not each against each: all members
 of a bucket against one of it, its hub, and in further rounds against other hubs of
 other components. What this joins to components needs no other pair; at the end
-only members of different components in one bucket are paired, which is exact for the
-components and linear for a large group of copies. Pairs are dropped early if their
+only members of different components in one bucket are paired, by classes of the sizes
+that their signatures allow. That is exact for the components and linear for a large
+group of copies, and documents of one template that differ too much are not paired
+at all: what tells them apart is rare and comes first. Pairs are dropped early if their
 sizes, or the Hamming distance of 512-bit parity sketches (a lower bound of the
 symmetric difference), exclude the threshold.
 
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, discard, in_bitmap, mix, settle, shared_dir, shingle_hashes, text_slices, unused, without, word_hashes
-from .components import connected_components
+from .components import connected_components, grown
 
 #: The bitmap of frequent grams has 2**MAP_BITS bits (8 MB), whatever the input.
 MAP_BITS = 26
@@ -49,8 +56,11 @@ ROOM = 7
 #: After the first round, buckets of several components get other hubs: so many different
 #: ones over all buckets of a group. Rounds only save pairs; what they leave is compared.
 ROUNDS = (4, 16)
-#: Bits of the map of documents that a verification reads.
-WANTED_BITS = 24
+#: Most bits of the map of documents that a verification reads (16 MB); beyond some 10**8
+#: documents it thins out less, and the join behind it does the rest.
+WANTED_BITS = 27
+#: Sizes of one class are within this factor of each other.
+CLASS = 1.05
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -128,11 +138,11 @@ def _in_map(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return in_bitmap(bits, s >> np.uint64(64 - MAP_BITS))
 
 
-def signatures(s: np.ndarray, threshold: int, some: np.ndarray, very: np.ndarray) -> np.ndarray:
-    """The signatures of one set (sorted uint64 grams)."""
+def signatures(s: np.ndarray, threshold: int, some: np.ndarray, very: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set (sorted uint64 grams), and how many grams count before each one's last."""
     n = len(s)
     if not n:
-        return s
+        return s, np.zeros(0, np.int64)
     least = _least(n, threshold)
     need = n - least + 1
     k = 1 + _in_map(some, s).astype(np.int8)
@@ -140,10 +150,10 @@ def signatures(s: np.ndarray, threshold: int, some: np.ndarray, very: np.ndarray
     order = np.argsort(k, kind="stable")  # by class, then by value
     s, k = s[order], k[order]
     small_limit = 100 * max((m for m in range(1, 3 * ROOM) if _least(m, threshold) < ROOM), default=0) // threshold
-    out = [mix(s[:need] ^ np.uint64(0xA5A5))] if n <= small_limit else []
+    out = [(mix(s[:need] ^ np.uint64(0xA5A5)), np.arange(need))] if n <= small_limit else []
     if least >= ROOM:
         if k[need - 1] == 1:
-            out.append(mix(s[:need]))
+            out.append((mix(s[:need]), np.arange(need)))
         else:
             cut = 1 << (max(1, min(need // 2, (least - 1) // 6)).bit_length() - 1)
             fine = (s & np.uint64(2 * cut - 1)).astype(np.int64) + (k.astype(np.int64) << 40)
@@ -151,22 +161,26 @@ def signatures(s: np.ndarray, threshold: int, some: np.ndarray, very: np.ndarray
             fresh = np.r_[True, np.diff(fine[by]) != 0]
             rank = np.empty(n, np.int64)
             rank[by] = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-            p = int(np.flatnonzero(np.cumsum(rank >= k - 1) == need)[0]) + 1
-            s, k = s[:p], k[:p]
-            out.append(mix(s[k == 1]))
+            counted = rank >= k - 1
+            p = int(np.flatnonzero(np.cumsum(counted) == need)[0]) + 1
+            s, k, before = s[:p], k[:p], np.cumsum(counted)[:p] - counted[:p]
+            out.append((mix(s[k == 1]), before[k == 1]))
             for size in (2, 3):
-                grams = s[k == size]
+                grams, at = s[k == size], before[k == size]
                 group = (grams & np.uint64(cut - 1)).astype(np.int64)
                 by = np.argsort(group, kind="stable")
-                for own in np.split(grams[by], np.flatnonzero(np.diff(group[by])) + 1):
-                    if len(own) >= size:
+                for own in np.split(by, np.flatnonzero(np.diff(group[by])) + 1):
+                    if len(own) >= size:  # in the order of the prefix, so the last gram is the last index
                         a, b = np.triu_indices(len(own), 1)
-                        pairs = mix(mix(own[a] + np.uint64(size)) + own[b])
+                        combined, last = mix(mix(grams[own[a]] + np.uint64(size)) + grams[own[b]]), b
                         if size == 3:
                             x, c = np.nonzero(b[:, None] < np.arange(len(own))[None, :])
-                            pairs = mix(pairs[x] + own[c])
-                        out.append(pairs)
-    return np.unique(np.concatenate(out)) if out else s[:0]
+                            combined, last = mix(combined[x] + grams[own[c]]), c
+                        out.append((combined, at[own[last]]))
+    if not out:
+        return s[:0], np.zeros(0, np.int64)
+    sigs, first = np.unique(np.concatenate([x for x, _ in out]), return_index=True)
+    return sigs, np.concatenate([x for _, x in out])[first]
 
 
 def _similar(threshold: int, size_a: str, size_b: str, both: str) -> str:
@@ -181,9 +195,10 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, thr
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
     left = settle(sized.withColumn("apart", apart).where(_similar(threshold, "n_a", "n_b", "(n_a + n_b - apart) / 2")).select("a", "b", "n_a", "n_b").distinct(), shared_dir(docs.sparkSession))
     wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # A map of fixed size lets tasks pass over most other texts; the join is exact.
-    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - WANTED_BITS)
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(slot.alias("slot")), WANTED_BITS)[0])
+    # A map of bounded size lets tasks pass over most other texts; the join is exact.
+    bits = max(16, min(WANTED_BITS, (32 * left.count() + 1).bit_length()))
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(slot.alias("slot")), bits)[0])
 
     def likely(batches):
         for batch in batches:
@@ -199,6 +214,24 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, thr
     return left.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared).where(_similar(threshold, "n_a", "n_b", "shared")).select("a", "b", "shared")
 
 
+def _check(threshold: int) -> None:
+    if not 50 <= threshold <= 100:
+        raise ValueError("threshold: 50 to 100")
+
+
+def _signed_rows(some: DataFrame, known: DataFrame, docs: DataFrame, size: int, threshold: int, path: str) -> DataFrame:
+    """sig, doc_id, before: the signatures of some of docs, which have the profiles `known`."""
+    maps = docs.sparkSession.sparkContext.broadcast(frequent_maps(docs, known, size, threshold))
+
+    def sign(batches):
+        for batch, row, sets in _sets(batches, size):
+            sigs, before = zip(*(signatures(s, threshold, *maps.value) for s in sets), strict=True)
+            yield pa.RecordBatch.from_arrays([_ids(batch, row, len(sets)), _lists(list(sigs)), _lists([b.astype(np.int64) for b in before]).cast(pa.list_(pa.int32()))], names=["doc_id", "sigs", "before"])
+
+    signed = settle(_plain(some).mapInArrow(sign, "doc_id long, sigs array<long>, before array<int>"), path)
+    return signed.select(F.explode(F.arrays_zip("sigs", "before")).alias("s"), "doc_id").select(F.col("s.sigs").alias("sig"), "doc_id", F.col("s.before").alias("before"))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """Components of the documents whose word `size`-gram sets have 100 J >= threshold (50 to 100).
 
@@ -210,52 +243,92 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
     null component_id. Other columns are ignored, whatever their names. An empty
     table gives an empty result.
     """
-    if not 50 <= threshold <= 100:
-        raise ValueError("threshold: 50 to 100")
+    _check(threshold)
     spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
     known = settle(profiles(docs, size, threshold), f"{base}/profiles")
-    maps = spark.sparkContext.broadcast(frequent_maps(docs, known, size, threshold))
-
-    def sign(batches):
-        for batch, row, sets in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([_ids(batch, row, len(sets)), _lists([signatures(s, threshold, *maps.value) for s in sets])], names=["doc_id", "sigs"])
-
-    signed = settle(_plain(docs).where("doc_id is not null").mapInArrow(sign, "doc_id long, sigs array<long>"), f"{base}/signed")
-    rows = signed.select(F.explode("sigs").alias("sig"), "doc_id")
+    rows = _signed_rows(docs.where("doc_id is not null"), known, docs, size, threshold, f"{base}/signed")
     hubs = rows.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("sig", "hub")
     # Of equal sets only the first goes on (a hub always is one); the others hang below it.
     same = known.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = settle(same.select(F.col("first").alias("doc_id")).distinct(), f"{base}/firsts")
     copies = known.select("doc_id", "hi", "lo").join(same.where("first <> last"), ["hi", "lo"]).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    met = settle(rows.join(hubs, "sig").join(firsts, "doc_id", "left_semi").select("sig", "doc_id", "hub"), f"{base}/met")
+    met = settle(rows.join(hubs, "sig").join(firsts, "doc_id", "left_semi").select("sig", "doc_id", "before", "hub"), f"{base}/met")
     discard(spark, f"{base}/signed")
     own = known.where("n > 0").select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     edges = lambda pairs: verified(pairs, docs, own, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = settle(edges(met.where("doc_id <> hub").select(*pair("doc_id", "hub")).distinct()), f"{base}/links0")
-    live = met.select("sig", "doc_id")
+    links = edges(met.where("doc_id <> hub").select(*pair("doc_id", "hub")).distinct())
+    labels = connected_components(links)
+    live = met.select("sig", "doc_id", "before")
     for k, hubs_each in enumerate(ROUNDS):
-        live = settle(_divided(live, connected_components(links)), f"{base}/live{k}")
+        live = settle(_divided(live, labels), f"{base}/live{k}")
+        if not k:
+            discard(spark, f"{base}/met")
         hub = F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(hubs_each))).alias("x"), F.col("doc_id").alias("hub"), F.col("c").alias("hub_c")))
         chosen = live.groupBy("sig").agg(hub.alias("h")).select("sig", "h.hub", "h.hub_c")
-        more = edges(live.join(chosen, "sig").where("c <> hub_c").select(*pair("doc_id", "hub")).distinct())
-        links = links.unionByName(settle(more, f"{base}/links{k + 1}"))
-        live = live.select("sig", "doc_id")
+        labels = grown(labels, edges(live.join(chosen, "sig").where("c <> hub_c").select(*pair("doc_id", "hub")).distinct()))
+        live = live.select("sig", "doc_id", "before")
     # What is left in buckets of several components: members of one against those of others.
-    live = _divided(live, connected_components(links)).join(own.select("doc_id", "n", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(8))), "doc_id")
-    live = settle(live, f"{base}/live")
-    other = live.join(live.groupBy("sig").agg(F.min("c").alias("first_c")), "sig").where("c <> first_c").select("sig", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), "first_c", *(F.col(f"s{i}").alias(f"o{i}") for i in range(8)))
-    apart = " + ".join(f"bit_count(s{i} ^ o{i})" for i in range(8))
-    likely = F.expr(f"100 * least(n, m) >= {threshold} * greatest(n, m) and {_similar(threshold, 'n', 'm', f'(n + m - ({apart})) / 2')}")
-    rest = live.join(other, "sig").where(likely & F.expr("c <> d and (c = first_c or doc_id < other)")).select(*pair("doc_id", "other")).distinct()
-    labels = connected_components(links.unionByName(edges(rest)).unionByName(copies))
+    rest = _rest(_divided(live, labels).join(own, "doc_id"), threshold, f"{base}/live")
+    labels = grown(grown(labels, edges(rest)), copies)
     labels = labels.select(F.col("node").alias("doc_id"), "component")
     return known.select("doc_id", "n").join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _classes(low, high):
+    """The classes of the sizes from low to high (SQL); none if there is no such size."""
+    place = lambda n: f"cast(floor(ln({n}) / ln({CLASS})) as int)"
+    return F.expr(f"case when {low} <= {high} then sequence({place(low)}, {place(high)}) else cast(array() as array<int>) end")
+
+
+def _rest(live: DataFrame, threshold: int, path: str) -> DataFrame:
+    """Pairs (a, b) of members (sig, doc_id, before, c, n, sketch) of a bucket that may be similar, of different components.
+
+    n - before of either member bounds what the pair shares; so of both, the larger is
+    matched with those classes of sizes that its own bound allows.
+    """
+    sketch = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(8)]
+    most = F.expr(f"(n - before) * {100 + threshold} div {threshold} - n")  # the largest partner
+    live = settle(live.select("sig", "doc_id", "c", "n", most.alias("most"), *sketch), path)
+    smaller = live.withColumn("class", F.explode(_classes("n", "n")))
+    larger = live.withColumn("class", F.explode(_classes(f"cast(ceil({threshold} * n / 100) as long)", "least(n, most)")))
+    larger = larger.select("sig", "class", *(F.col(x).alias(f"{x}_") for x in ("doc_id", "c", "n", "most", *(f"s{i}" for i in range(8)))))
+    apart = " + ".join(f"bit_count(s{i} ^ s{i}_)" for i in range(8))
+    fits = F.expr(f"(n < n_ or n = n_ and doc_id < doc_id_) and 100 * n >= {threshold} * n_ and n_ <= most and n <= most_ and {_similar(threshold, 'n', 'n_', f'(n + n_ - ({apart})) / 2')}")
+    return smaller.join(larger, ["sig", "class"]).where(fits & F.expr("c <> c_")).select(F.least("doc_id", "doc_id_").alias("a"), F.greatest("doc_id", "doc_id_").alias("b")).distinct()
+
+
+def similar_pairs(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links between different sets, and which documents have which set.
+
+    Returns (a, b, n_a, n_b, shared), a row per pair of different sets with 100 J >= threshold,
+    each named by its smallest doc_id (a < b), and members (doc_id, first), a row per row
+    of docs that has words and an id. Documents of one set link with each other, and with
+    all members of a linked set. Every link is a row here, so the result of a group of m
+    near copies that are all similar has m * m / 2 rows; jaccard_components does without.
+
+    Rows that repeat a doc_id count by their first set in order of its digest. Null or
+    blank texts link with nothing. Other columns are ignored. Empty tables give empty results.
+    """
+    _check(threshold)
+    spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
+    docs = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    docs = settle(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), f"{base}/docs")
+    known = settle(profiles(docs, size, threshold), f"{base}/profiles").where("n > 0")
+    same = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"))
+    members = settle(known.join(same, ["hi", "lo"]).select("doc_id", "first"), f"{base}/members")
+    firsts = members.select(F.col("first").alias("doc_id")).distinct()
+    rows = _signed_rows(docs.join(firsts, "doc_id", "left_semi"), known, docs, size, threshold, f"{base}/signed")
+    own = known.select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
+    pairs = _rest(rows.withColumn("c", F.col("doc_id")).join(own, "doc_id"), threshold, f"{base}/live")
+    links = verified(pairs, docs, own, size, threshold)
+    side = lambda x: own.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "shared"), members
+
+
 def _divided(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of bucket members (sig, doc_id) those in buckets of several components, with theirs: sig, doc_id, c."""
-    placed = met.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    """Of bucket members (sig, doc_id, before) those in buckets of several components, with theirs: sig, doc_id, before, c."""
+    placed = met.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", "before", F.coalesce("component", "doc_id").alias("c"))
     several = placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("sig")
     return placed.join(several, "sig", "left_semi")
 

@@ -326,3 +326,31 @@ def test_pipeline(spark, sf_dir, texts):
     for r in corpus_pipeline.run(spark, sf_dir).collect():
         tokens[r["doc_id"]] += r["length"]
     assert set(tokens) <= set(kept) and len(set(kept) - set(tokens)) <= 2  # partial passages of items
+
+
+def test_similar_pairs(spark):
+    """All links between different sets, by brute force, also where nearly all grams are frequent."""
+    import random
+
+    from sparquill.llm import jaccard_join
+
+    r, rows = random.Random(8), {}
+    for g in range(10):
+        words = [f"w{r.randrange(300)}" for _ in range(r.choice([5, 12, 40, 150]))]
+        for k in range(12):
+            own = list(words)
+            for _ in range(r.randrange(0, 1 + len(own) // 12)):
+                own[r.randrange(len(own))] = f"x{r.randrange(40)}"
+            rows[g * 100 + k] = " ".join(own[: len(own) - r.randrange(0, 1 + len(own) // 10)])
+    rows |= {5000: rows[0], 5001: "", 5002: "single"}
+    sets, _ = components(rows, 3, 70)
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    pairs, members = jaccard_join.similar_pairs(table, 3, 70)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    assert {x["doc_id"]: x["first"] for x in members.collect()} == {i: first[frozenset(s)] for i, s in sets.items() if s}
+    names = sorted(set(first.values()) - {5001})
+    want = {(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a in names for b in names if a < b and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])}
+    got = [tuple(x[c] for c in ("a", "b", "n_a", "n_b", "shared")) for x in pairs.collect()]
+    assert len(want) > 100 and sorted(got) == sorted(want)
