@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +26,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests in local mode) a temporary folder of
-    this machine is chosen, and set, so that later calls use it too.
+    Only in local mode the setting may be absent: then a temporary folder of this machine
+    serves. Folders are removed when the process ends, or by release().
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _local_base()
+    if not _made:
+        atexit.register(release, spark)
+    _made.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@cache
+def _local_base() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+def mark() -> int:
+    """What release() takes to leave the folders made so far."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Remove the folders made after `since`, but not one below which `keep` lies. No plan may still read them."""
+    gone = [f for f in _made[since:] if not keep.startswith(f)]
+    with contextlib.suppress(Exception):  # at the end of the process the JVM may be gone
+        for folder in gone:
+            discard(spark, folder)
+    _made[since:] = [f for f in _made[since:] if f not in gone]
 
 
 def settle(df: DataFrame, path: str) -> DataFrame:

@@ -11,6 +11,8 @@ from . import chat_format, decontaminate, html_extract, jaccard_join, packing, p
 from .common import shared_dir, table
 
 SEQUENCE = 2048
+#: Bytes of an archive that are a range of their own.
+RANGE = 1 << 20
 
 
 def ranks() -> str:
@@ -34,7 +36,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = shared_dir(spark)
     files = warc.write_warc(table(spark, sf_dir, "pages"), f"{base}/warc")
-    return warc.digests(warc.read_warc(spark, files), f"{base}/read")
+    return warc.digests(warc.read_warc(spark, files, RANGE), f"{base}/read")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +93,26 @@ SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(c)
 WITH rules(no, kind, least, grp, pattern) AS (VALUES
   (0, 'assign', 12, 2, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
   (1, 'access', 18, 0, '()()AKIA[A-Z0-9]+'), (2, 'hex', 16, 0, '()()[0-9a-f]+'), (3, 'private_key', 1, 0, '()()-----BEGIN [A-Z ]*PRIVATE KEY-----'),
-  (4, 'code_host', 1, 0, '()()gh[pousr]_[A-Za-z0-9]{36,}'), (5, 'chat_app', 1, 0, '()()xox[abprs]-[A-Za-z0-9-]{10,}')),
+  (4, 'code_host', 1, 0, '()()gh[pousr]_[A-Za-z0-9]{36,}'), (5, 'chat_app', 1, 0, '()()xox[abprs]-[A-Za-z0-9-]{10,}'),
+  (6, 'fine_grained', 1, 0, '()()github_pat_[A-Za-z0-9_]{60,}'),
+  (7, 'project_host', 1, 0, '()()glpat-[A-Za-z0-9_-]{20,}'),
+  (8, 'cloud_key', 1, 0, '()()AIza[A-Za-z0-9_-]{35}'),
+  (9, 'cloud_session', 1, 0, '()()ya29\.[A-Za-z0-9_-]{20,}'),
+  (10, 'payment', 1, 0, '()()[sr]k_(?:live|test)_[A-Za-z0-9]{16,}'),
+  (11, 'point_of_sale', 1, 0, '()()sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}'),
+  (12, 'mailing', 1, 0, '()()SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}'),
+  (13, 'mail_route', 1, 0, '()()key-[0-9a-f]{32}'),
+  (14, 'packages', 1, 0, '()()npm_[A-Za-z0-9]{36}'),
+  (15, 'package_index', 1, 0, '()()pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}'),
+  (16, 'web_token', 1, 0, '()()eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+'),
+  (17, 'shop', 1, 0, '()()shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}'),
+  (18, 'chat_hook', 1, 0, '()()https://hooks\.slack\.com/services/[A-Za-z0-9/]{20,}'),
+  (19, 'chat_bot', 1, 0, '()()[0-9]{8,10}:AA[A-Za-z0-9_-]{33}'),
+  (20, 'droplet', 1, 0, '()()dop_v1_[0-9a-f]{64}'),
+  (21, 'vault', 1, 0, '()()hvs\.[A-Za-z0-9_-]{24,}'),
+  (22, 'file_key', 1, 0, '()()AGE-SECRET-KEY-1[0-9A-Z]{58}'),
+  (23, 'url_password', 1, 0, '()()://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/@]{4,64}@'),
+  (24, 'bearer', 1, 0, '()()[Bb]earer [A-Za-z0-9._~+/-]{20,}')),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS (SELECT doc_id, no, kind, least, grp, regexp_extract_all(text, pattern) AS hit, regexp_extract_all(text, pattern, 2) AS part, string_split_regex(text, pattern) AS gap FROM d, rules),
 x AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m),

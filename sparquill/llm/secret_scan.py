@@ -40,6 +40,7 @@ class Rule:
         return re.compile(self.pattern, re.A | (re.I if self.any_case else 0))
 
 
+#: The base rules, and how well-known services write their tokens.
 #: The keyword's letters are in either case; a value's alphabet holds both anyway.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2, any_case=True),
@@ -48,6 +49,25 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
     Rule("chat_app", r"xox[abprs]-[A-Za-z0-9-]{10,}", base=False),
+    Rule("fine_grained", r"github_pat_[A-Za-z0-9_]{60,}", base=False),
+    Rule("project_host", r"glpat-[A-Za-z0-9_-]{20,}", base=False),
+    Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}", base=False),
+    Rule("cloud_session", r"ya29\.[A-Za-z0-9_-]{20,}", base=False),
+    Rule("payment", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", base=False),
+    Rule("point_of_sale", r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}", base=False),
+    Rule("mailing", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", base=False),
+    Rule("mail_route", r"key-[0-9a-f]{32}", base=False),
+    Rule("packages", r"npm_[A-Za-z0-9]{36}", base=False),
+    Rule("package_index", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}", base=False),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", base=False),
+    Rule("shop", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}", base=False),
+    Rule("chat_hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]{20,}", base=False),
+    Rule("chat_bot", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}", base=False),
+    Rule("droplet", r"dop_v1_[0-9a-f]{64}", base=False),
+    Rule("vault", r"hvs\.[A-Za-z0-9_-]{24,}", base=False),
+    Rule("file_key", r"AGE-SECRET-KEY-1[0-9A-Z]{58}", base=False),
+    Rule("url_password", r"://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/@]{4,64}@", base=False),
+    Rule("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}", base=False),
 )
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -95,13 +115,13 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index of some trigrams (all ASCII, at most 255) over whole texts: doc_id, trigram (its number)."""
+    """The inverted index of some trigrams (all ASCII, at most 65,535) over whole texts: doc_id, trigram (its number)."""
     fold = np.arange(256, dtype=np.uint32)
     fold[ord("A") : ord("Z") + 1] += 32
     named = [t.encode() for t in trigrams]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << 24, np.uint8)
+        table = np.zeros(1 << 24, np.uint16)
         for k, (a, b, c) in enumerate(named):
             table[a << 16 | b << 8 | c] = k + 1
         for batch in batches:
@@ -113,8 +133,8 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
                 at = np.flatnonzero(found)
                 doc = np.searchsorted(offsets, at, "right") - 1
                 within = at + 2 < offsets[doc + 1]
-                pairs = np.unique(doc[within] << 8 | found[at[within]].astype(np.int64) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row).take(pa.array(pairs >> 8)), pa.array((pairs & 255).astype(np.int32))], names=["doc_id", "trigram"])
+                pairs = np.unique(doc[within] << 16 | found[at[within]].astype(np.int64) - 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row).take(pa.array(pairs >> 16)), pa.array((pairs & 65535).astype(np.int32))], names=["doc_id", "trigram"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(work, "doc_id long, trigram int")
 
@@ -144,7 +164,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: bool =
     """
     full = [k for k, rule in enumerate(rules) if trigram_query(rule.pattern) is None]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(candidates(docs, rules), "doc_id", "left")
+    tried = settle(candidates(docs, rules), shared_dir(docs.sparkSession))
+    maybe = F.coalesce(likely_in(tried, "doc_id")(F.col("doc_id")), F.lit(False))  # other texts don't go through the join
+    rows = rows.where(maybe).join(tried, "doc_id", "left").unionByName(rows.where(~maybe).withColumn("rules", F.lit(None).cast("array<int>")))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +186,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: bool =
 
 
 def digests(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts and digests of what find_secrets() found."""
+    """Counts and digests of what find_secrets() found, a row for each of its rows: doc_id, n_KIND, base_sha256, spans."""
     base = [rule.kind for rule in rules if rule.base]
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import likely_in, settle, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the tables have no fetch time
+#: Ranges are dealt to at most so many tasks.
+TASKS = 100_000
 _CHUNK, _FIRST = 1 << 18, 1 << 14
 RECORDS = "page_id long, record_type string, uri string, refers_to long, digest string, payload binary"
 
@@ -80,7 +82,10 @@ def write_warc(pages: DataFrame, folder: str, least: int = 100, level: int = 6)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     long = rows.where(F.octet_length("payload") >= least)
     firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    rows = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    firsts = settle(firsts, shared_dir(pages.sparkSession))
+    maybe = likely_in(firsts, "digest")(F.col("digest"))  # only payloads that are likely repeated go through the join
+    met = rows.where(maybe).join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    rows = met.unionByName(rows.where(~maybe).withColumn("refers_to", F.lit(None).cast("long")))
     rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +170,10 @@ def read_warc(spark: SparkSession, files: list[tuple[str, int]], range_bytes: in
     HTTP body (null for revisits), digest the declared one. Bytes that are not a
     member of a WARC record are passed over. No files give an empty result.
     """
-    ranges = [(name, size, at) for name, size in files for at in range(0, size, range_bytes)]
-    table = spark.createDataFrame(spark.sparkContext.parallelize(ranges, max(1, len(ranges))), "file string, size long, at long")
+    n = sum(-(-size // range_bytes) for _, size in files)
+    listed = spark.createDataFrame(files, "file string, size long").where("size > 0")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
+    table = listed.select("file", "size", starts.alias("at")).repartition(max(1, min(n, TASKS)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -70,6 +70,42 @@ def test_secrets(spark, mixed, none):
     assert found(clean, "doc_id", "text", "n_chars") == sorted([(None, "é [SECRET]", 10), (1, "Token: 'short' key [SECRET]", 27), (1, "[SECRET]", 8), (2, None, None)], key=repr)
 
 
+A, D = "aB3dE5gH7jK9mN1pQ3sT5vX7zB9cD1fG", "0123456789abcdef0123456789abcdef"
+#: For each rule beyond the base a text with a match, and one that just misses.
+TOKENS = {
+    "private_key": ("-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN RSA PUBLIC KEY-----"),
+    "code_host": (f"ghp_{A}{A}", f"ghx_{A}{A}"),
+    "chat_app": ("xoxb-1234567890", "xoxb-123"),
+    "fine_grained": (f"github_pat_{A}{A}", f"github_pat_{A}"),
+    "project_host": (f"glpat-{A[:20]}", f"glpat-{A[:19]}"),
+    "cloud_key": (f"AIza{A}{A[:3]}", f"AIza{A}{A[:2]}"),
+    "cloud_session": (f"ya29.{A}", f"ya28.{A}"),
+    "payment": (f"sk_live_{A}", f"sk_lives_{A}"),
+    "point_of_sale": (f"sq0atp-{A}", f"sq0abc-{A}"),
+    "mailing": (f"SG.{A[:22]}.{A}{A[:11]}", f"SG.{A[:21]}.{A}{A[:11]}"),
+    "mail_route": (f"key-{D}", f"key-{D[:31]}"),
+    "packages": (f"npm_{A}{A[:4]}", f"npm_{A}{A[:3]}"),
+    "package_index": (f"pypi-AgEIcHlwaS5vcmc{A}{A}", f"pypi-AgEIcHlwaS5vcmc{A}"),
+    "web_token": (f"eyJ{A}.eyJ{A}.{A}", f"eyJ{A}.{A}.{A}"),
+    "shop": (f"shpat_{D}", f"shpat_{D[:31]}"),
+    "chat_hook": (f"https://hooks.slack.com/services/{A}", f"https://hooks.slack.org/services/{A}"),
+    "chat_bot": (f"12345678:AA{A}x", f"12345678:AA{A}"),
+    "droplet": (f"dop_v1_{D}{D}", f"dop_v1_{D}{D[:31]}"),
+    "vault": (f"hvs.{A}", f"hvs.{A[:23]}"),
+    "file_key": ("AGE-SECRET-KEY-1" + "Q2W3" * 14 + "E4", "AGE-SECRET-KEY-1" + "Q2W3" * 14 + "E"),
+    "url_password": ("postgres://user:pass@host/db", "postgres://user@host/db"),
+    "bearer": (f"Bearer {A}", f"Bearer {A[:19]}"),
+}
+
+
+def test_secret_rules(spark):
+    assert set(TOKENS) == {rule.kind for rule in secret_scan.RULES if not rule.base}
+    rows = docs(spark, [(2 * k + miss, f"x \u00e9 {both[miss]} y", "a") for k, both in enumerate(TOKENS.values()) for miss in (0, 1)])
+    got = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in secret_scan.find_secrets(rows).collect()}
+    for k, kind in enumerate(TOKENS):
+        assert kind in got[2 * k] and kind not in got[2 * k + 1], kind
+
+
 def test_html(spark):
     rows = [(1, None, "<html><body><nav><a href='/'>Home</a></nav><article><h1>Title of it</h1><p>A &amp; b  c.<p>More text, and more.</article><footer>&copy; x</footer>"), (None, "u", None), (3, "u", ""), (4, "u", "<<<>> < p <a href='"), (5, "u", "<p>" * 3000 + "deep")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
