@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparquill.llm import decontaminate, jaccard_join, packing, quality_rules, queries, secret_scan
-from sparquill.llm.common import settle, shared_dir, table
+from sparquill.llm.common import discard, mark, release, settle, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, base = table(spark, sf_dir, "documents"), shared_dir(spark)
+    """The stages over documents, one after the other; what a stage leaves behind goes when its result is written.
+
+    Null ids, null or empty texts, repeated rows and further columns are handled as the
+    stages' operators say; an empty table gives an empty result.
+    """
+    docs, base, before = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for k, (name, stage) in enumerate(STAGES):
+        since = mark()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settle(docs, f"{base}/{name}")
+            release(spark, since)
+            if before:
+                discard(spark, before)
+            before = f"{base}/{name}"
     return docs
