@@ -28,6 +28,11 @@ def _snake(name: str) -> str:
     return re.sub(r"[A-Z]", lambda m: "_" + m[0].lower(), name)
 
 
+def _plan_of(out: Any) -> Callable[[], str] | None:
+    """The plan's text, made when it is asked for."""
+    return (lambda: out._jdf.queryExecution().toString()) if isinstance(out, DataFrame) else None
+
+
 class Client:
     """Queries over the tables of a schema.
 
@@ -79,19 +84,42 @@ class Client:
         return out
 
     def on(self, event: str, listener: Callable[[dict], None]) -> None:
-        """Call listener({model, action, seconds, plan}) after each operation (event: query)."""
+        """Call listener({model, action, seconds, plan}) after each operation (event: query); plan() gives the text of a read's plan."""
         if event != "query":
             raise QueryValidationError(f"unknown event {event}")
         self._listeners.append(listener)
 
     # -- raw ----------------------------------------------------------------
 
-    def query_raw(self, sql: str, *params: Any) -> DataFrame:
-        """Spark SQL with ? parameters; models are views by their table's name."""
-        for m in self.schema.models:
-            df = self.source.frame(m)
-            df.select(*(F.col(f.name).alias(f.db_name) for f in m.scalars)).createOrReplaceTempView(m.db_name)
-        return self.spark.sql(sql, args=list(params)) if params else self.spark.sql(sql)
+    def query_raw(self, sql: str | list[str] | tuple[str, ...], *params: Any) -> DataFrame:
+        """Spark SQL over the models' tables by their names, with ? parameters.
+
+        Also takes the parts of a template, with a parameter between each two of them.
+        The tables that the text names are views while it is analysed; views of the same
+        names are there again afterwards.
+        """
+        if not isinstance(sql, str):
+            if len(params) != len(sql) - 1:
+                raise QueryValidationError(f"{len(sql)} parts take {len(sql) - 1} values, not {len(params)}")
+            sql = "?".join(sql)
+        before: dict[str, DataFrame | None] = {}
+        try:
+            for m in self.schema.models:
+                if re.search(rf"\b{re.escape(m.db_name)}\b", sql, re.I):
+                    held = any(t.isTemporary and t.name == m.db_name.lower() for t in self.spark.catalog.listTables(pattern=m.db_name.lower()))
+                    before[m.db_name] = self.spark.table(m.db_name) if held else None
+                    self.source.frame(m).select(*(F.col(f"`{f.name}`").alias(f.db_name) for f in m.scalars)).createOrReplaceTempView(m.db_name)
+            return self.spark.sql(sql, args=list(params)) if params else self.spark.sql(sql)
+        finally:
+            for name, view in before.items():
+                if view is None:
+                    self.spark.catalog.dropTempView(name)
+                else:
+                    view.createOrReplaceTempView(name)
+
+    def execute_raw(self, sql: str | list[str] | tuple[str, ...], *params: Any) -> int:
+        """Raw writes: versions of tables are DataFrames, which no SQL text can change."""
+        raise QueryValidationError("tables take no raw writes; use update_many, delete_many, create_many, and save to write files")
 
     # -- transactions -------------------------------------------------------
 
@@ -143,7 +171,7 @@ class Delegate:
             began = time.perf_counter()
             out = getattr(self, f"_{_snake(params['action'])}")(params["args"])
             for listener in self._client._listeners:
-                listener({"model": self._model.name, "action": params["action"], "seconds": time.perf_counter() - began, "plan": out._jdf.queryExecution().toString() if isinstance(out, DataFrame) else None})
+                listener({"model": self._model.name, "action": params["action"], "seconds": time.perf_counter() - began, "plan": _plan_of(out)})
             return out
 
         call = last
@@ -220,6 +248,10 @@ class Delegate:
         args["where"] = {"AND": [lead, args.get("where") or {}]}
         return Delegate(self._client, target)._project(args)
 
+    def follow(self, where: Mapping[str, Any] | None = None) -> Traversal:
+        """The rows that `where` chooses, to go on from along relations: follow({...}).orders().lines().rows()."""
+        return Traversal(self._client, self._model, self._client.writer.matching(self._model, where))
+
     # -- writes -------------------------------------------------------------
 
     def _shown(self, args: Mapping[str, Any], where: Mapping[str, Any]) -> DataFrame:
@@ -269,3 +301,27 @@ class Delegate:
     def _delete_many(self, args: dict) -> int:
         with self._client.source.transaction():
             return self._client.writer.delete_many(self._model, args.get("where"))
+
+
+class Traversal:
+    """A set of rows of a model; each relation, called by its name, leads to the rows related to any of them."""
+
+    def __init__(self, client: Client, model: Model, frame: DataFrame):
+        self._client, self._model, self._frame = client, model, frame
+
+    def __getattr__(self, name: str) -> Callable[..., Traversal]:
+        field = self._model.field(name)
+        if field is None or field.kind != "object":
+            raise AttributeError(name)
+        return lambda where=None: self._step(name, where)
+
+    def _step(self, name: str, where: Mapping[str, Any] | None) -> Traversal:
+        join = resolve(self._client.schema, self._model, name)
+        target = self._client.writer.matching(join.target, where)
+        keys = self._frame.select(*(F.col(o).alias(f"_k{i}") for i, o in enumerate(join.own)))
+        same = [target[o] == keys[f"_k{i}"] for i, o in enumerate(join.other)]
+        return Traversal(self._client, join.target, target.join(keys, same, "left_semi"))
+
+    def rows(self, **args: Any) -> DataFrame:
+        """The rows, with arguments of find_many but where."""
+        return self._client.reader.shape(self._frame, self._model, args)

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
+from ..functions.values import literal
 from ..schema.document import Model
-from .order import columns, normalized
+from .order import columns, fresh, normalized
 from .read import Reader
-from .where import Filter, literal
+from .where import Filter
 
 _FUNCTIONS = {"_count": F.count, "_sum": F.sum, "_avg": F.avg, "_min": F.min, "_max": F.max}
 _COMPARE = {"equals": Column.__eq__, "not": Column.__ne__, "gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
@@ -100,8 +101,9 @@ def _having(reader: Reader, model: Model, by: list[str], given: Mapping | None,
 
 
 def _compared(model: Model, op: str, name: str, given: Any, hidden: dict[str, Column]) -> Column | None:
-    hidden[f"_h{op}_{name}"] = _aggregate(model, op, name)
-    col = F.col(f"_h{op}_{name}")
+    hid = fresh(f"_h{op}_{name}", [f.name for f in model.scalars])
+    hidden[hid] = _aggregate(model, op, name)
+    col = F.col(hid)
     if not isinstance(given, Mapping):
         given = {"equals": given}
     field = model.field(name)

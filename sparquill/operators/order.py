@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
+from ..functions.values import literal
 from ..schema.document import Model
-from .where import literal
 
 Order = list[tuple[str, bool]]  # (field, descending)
 
@@ -54,13 +54,22 @@ def after_cursor(model: Model, alias: str, cursor: Mapping[str, Any], order: Ord
     return out if out is not None else F.lit(True)
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """A column name that isn't taken."""
+    known = {c.lower() for names in taken for c in names}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def distinct_rows(df: DataFrame, model: Model, names: list[str], order: Order) -> DataFrame:
     """The first row of every combination of values, by the order and then the key."""
     for n in names:
         if model.field(n) is None or model.field(n).kind == "object":
             raise QueryValidationError(f"{model.name} has no field {n} for distinct")
     order = order + [o for o in by_key(model) if o[0] not in dict(order)]
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*names).orderBy(*columns(order)))).where("_rank = 1").drop("_rank")
+    rank = fresh("_rank", df.columns)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*names).orderBy(*columns(order)))).where(F.col(rank) == 1).drop(rank)
 
 
 def page(df: DataFrame, order: Order, take: int | None, skip: int | None) -> DataFrame:

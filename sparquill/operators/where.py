@@ -1,14 +1,14 @@
 """Filters: nested arguments as one Column.
 
 Conditions on related rows are EXISTS subqueries, which Catalyst turns into semi, anti
-and existence joins. Values are literals cast to the declared type of their field.
+and existence joins. Values are literals of their field's declared type, or of a wider
+one where that can't hold them.
 """
 
 from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping
-from datetime import date, datetime
 from functools import reduce
 from typing import Any
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
-from ..functions.json_text import json_text
+from ..functions.values import literal
 from ..schema.document import Field, Model
 from ..schema.relations import Join, resolve
 
@@ -27,15 +27,6 @@ _COMPARE = {"lt": Column.__lt__, "lte": Column.__le__, "gt": Column.__gt__, "gte
 _MATCH = {"contains": Column.contains, "startsWith": Column.startswith, "endsWith": Column.endswith}
 
 
-def literal(field: Field, value: Any) -> Column:
-    """A value as a literal of the field's type."""
-    if field.type == "Json" and not isinstance(value, str) and value is not None:
-        value = json_text(value)
-    if isinstance(value, (datetime, date)):
-        value = value.isoformat()
-    return F.lit(value).cast(field.spark_type)
-
-
 def _join(op, parts: list[Column | None]) -> Column | None:
     parts = [p for p in parts if p is not None]
     return reduce(op, parts) if parts else None

@@ -7,17 +7,22 @@ the tables themselves never do. Deletes and updates are one plan over the table.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import QueryValidationError, RecordNotFoundError, UniqueConstraintError
 from ..functions.defaults import is_generated, stamped, with_defaults
+from ..functions.values import stored
 from ..schema.document import NUMERIC, Field, Model
 from ..schema.relations import resolve
-from ..sources.snapshots import Snapshots, typed_row
-from .where import Filter, literal
+from ..sources.snapshots import Snapshots, as_held, typed_rows
+from .order import fresh
+from .where import Filter
 
 #: In this order: the first that is given counts.
 ATOMIC = ("set", "increment", "decrement", "multiply", "divide")
@@ -27,6 +32,11 @@ def _listed(x: Any) -> list:
     return [] if x is None else list(x) if isinstance(x, (list, tuple)) else [x]
 
 
+def _constant(field: Field, value: Any) -> Column:
+    value = stored(field, value)
+    return F.lit(value.isoformat()) if isinstance(value, date) else F.lit(value)
+
+
 class Writer:
     def __init__(self, source: Snapshots):
         self.source, self.schema = source, source.schema
@@ -90,6 +100,7 @@ class Writer:
         return out
 
     def _insert(self, model: Model, rows: list[dict[str, Any]]) -> DataFrame:
+        """Add rows, with generated numbers filled in; the rows as a table."""
         df = self.source.frame(model)
         for f in model.scalars:
             lacking = [r for r in rows if r.get(f.name) is None] if is_generated(model, f.name) else []
@@ -97,28 +108,63 @@ class Writer:
                 last = df.agg(F.max(f.name)).first()[0] or 0
                 for k, r in enumerate(lacking, 1):
                     r[f.name] = last + k
-        new = typed_row(self.source.spark, df, model, rows, literal)
+        new = typed_rows(self.source.spark, df, model, rows)
         self.source.put(model, df.unionByName(new))
         return new
 
-    def _unique(self, model: Model, row: Mapping[str, Any]) -> None:
-        for names in [model.id_fields, *((f.name,) for f in model.scalars if f.unique), *(k.fields for k in model.uniques)]:
-            if names and all(row.get(n) is not None for n in names) and self.first(model, {n: row[n] for n in names}) is not None:
-                raise UniqueConstraintError(f"{model.name} already has {', '.join(names)} = {[row[n] for n in names]}")
+    @staticmethod
+    def _keys(model: Model) -> list[tuple[str, ...]]:
+        keys = [tuple(model.id_fields), *((f.name,) for f in model.scalars if f.unique), *(tuple(k.fields) for k in model.uniques)]
+        return [k for k in dict.fromkeys(keys) if k]
+
+    def _taken(self, model: Model, rows: list[dict[str, Any]]) -> dict[int, tuple[str, ...]]:
+        """The rows (their places) that repeat a key of the table or of an earlier row, and that key.
+
+        All keys are looked up in one job; a key with a null is none.
+        """
+        out: dict[int, tuple[str, ...]] = {}
+        df = self.source.frame(model)
+        at = fresh("_row", df.columns)
+        found = []
+        for names in self._keys(model):
+            seen: set[tuple] = set()
+            asked = []
+            for k, r in enumerate(rows):
+                value = tuple(None if r.get(n) is None else stored(model.field(n), r[n]) for n in names)
+                if None in value:
+                    continue
+                if value in seen:
+                    out.setdefault(k, names)
+                seen.add(value)
+                asked.append((k, *(as_held(v, df.schema[n].dataType) for v, n in zip(value, names, strict=True))))
+            if asked:
+                kinds = T.StructType([T.StructField(at, T.IntegerType()), *(T.StructField(n, df.schema[n].dataType) for n in names)])
+                mine = self.source.spark.createDataFrame(asked, kinds)
+                found.append(mine.join(df.select(*names), list(names), "left_semi").select(at, F.lit(",".join(names)).alias("key")))
+        if found:
+            for r in reduce(DataFrame.unionByName, found).collect():  # no more rows than were given, for each key
+                out.setdefault(r[at], tuple(r["key"].split(",")))
+        return out
 
     def create(self, model: Model, data: Mapping[str, Any]) -> dict[str, Any]:
         """Insert a row and what is nested in its data; the row."""
         scalars, owning, children = self._parted(model, data)
         row = with_defaults(model, scalars | self._owned(model, owning, False))
-        self._unique(model, row)
-        row = self._insert(model, [row]).first().asDict()
+        self._free(model, [row])
+        self._insert(model, [row])
+        row = {f.name: None if row.get(f.name) is None else stored(f, row[f.name]) for f in model.scalars}
         self._children(children, row)
         return row
 
+    def _free(self, model: Model, rows: list[dict[str, Any]]) -> None:
+        for k, names in self._taken(model, rows).items():
+            raise UniqueConstraintError(f"{model.name} already has {', '.join(names)} = {[rows[k][n] for n in names]}")
+
     def create_many(self, model: Model, data: list[Mapping[str, Any]], skip_duplicates: bool = False) -> DataFrame:
-        """Insert rows of scalar values in one union; the rows that were inserted.
+        """Insert rows of scalar values as one table; the rows that were inserted.
 
-        With skip_duplicates rows whose key exists, or comes earlier in data, are left out.
+        A row that repeats a key, of the table or of an earlier row, raises; with
+        skip_duplicates it is left out.
         """
         rows = []
         for d in data:
@@ -126,18 +172,12 @@ class Writer:
             if owning or children:
                 raise QueryValidationError("createMany takes no nested writes")
             rows.append(with_defaults(model, scalars))
-        if not rows:
-            return self.source.frame(model).limit(0)
-        if skip_duplicates and all(r.get(n) is not None for r in rows for n in model.id_fields):
-            rows = list({tuple(r[n] for n in model.id_fields): r for r in reversed(rows)}.values())[::-1]
-            new = typed_row(self.source.spark, self.source.frame(model), model, rows, literal)
-            known = self.source.frame(model).select(*model.id_fields)
-            fresh = {tuple(r[n] for n in model.id_fields) for r in new.join(known, list(model.id_fields), "left_anti").select(*model.id_fields).collect()}
-            kinds = new.select(*model.id_fields).collect()  # the keys as the table has them
-            rows = [r for r, k in zip(rows, kinds, strict=True) if tuple(k) in fresh]
-            if not rows:
-                return self.source.frame(model).limit(0)
-        return self._insert(model, rows)
+        if skip_duplicates:
+            taken = self._taken(model, rows)
+            rows = [r for k, r in enumerate(rows) if k not in taken]
+        else:
+            self._free(model, rows)
+        return self._insert(model, rows) if rows else self.source.frame(model).limit(0)
 
     # -- updates ------------------------------------------------------------
 
@@ -146,13 +186,10 @@ class Writer:
         for name, value in data.items():
             field = model.field(name)
             kind = df.schema[name].dataType
-            atomic = isinstance(value, Mapping) and next((op for op in ATOMIC if op in value), None)
-            if not atomic:
-                out[name] = literal(field, value).cast(kind)
-            elif atomic == "set":
-                out[name] = literal(field, value["set"]).cast(kind)
-            else:
-                out[name] = self._arithmetic(field, atomic, value[atomic]).cast(kind)
+            atomic = isinstance(value, Mapping) and field.type != "Json" and next((op for op in ATOMIC if op in value), None)
+            if atomic == "set":
+                value, atomic = value["set"], None
+            out[name] = self._arithmetic(field, atomic, value[atomic]).cast(kind) if atomic else _constant(field, value).cast(kind)
         return out
 
     @staticmethod
@@ -165,10 +202,17 @@ class Writer:
         return {"increment": col + by_, "decrement": col - by_, "multiply": col * by_, "divide": col / by_}[op]
 
     def _apply(self, model: Model, where: Mapping | None, data: Mapping[str, Any]) -> None:
+        """One pass over the table: rows for which the condition is null stay as they are, too."""
         if not data:
             return
-        chosen, rest = self.matching(model, where), self._rest(model, where)
-        self.source.put(model, rest.unionByName(chosen.withColumns(self._assigned(model, chosen, data))))
+        df = self.source.frame(model).alias("t0")
+        cond = Filter(self.source).where(model, "t0", where)
+        new = self._assigned(model, df, data)
+        if cond is not None:
+            hit = fresh("_hit", df.columns)
+            df = df.withColumn(hit, F.coalesce(cond, F.lit(False)))
+            new = {n: F.when(F.col(hit), c).otherwise(F.col(n)) for n, c in new.items()}
+        self.source.put(model, df.select(*(new.get(f.name, F.col(f.name)).alias(f.name) for f in model.scalars)))
 
     def update(self, model: Model, where: Mapping, data: Mapping[str, Any]) -> dict[str, Any]:
         """Update the row that `where` finds and what is nested; its key afterwards."""
@@ -211,8 +255,9 @@ class Writer:
                     continue
                 join = resolve(self.schema, child, f.name)
                 df = self.source.frame(child)
-                keys = gone.select(*(F.col(o).alias(f"_{o}") for o in join.other)).distinct()
-                same = [df[k] == keys[f"_{o}"] for k, o in zip(join.own, join.other, strict=True)]
+                names = [fresh(f"_{o}", df.columns) for o in join.other]
+                keys = gone.select(*(F.col(o).alias(n) for o, n in zip(join.other, names, strict=True))).distinct()
+                same = [df[k] == keys[n] for k, n in zip(join.own, names, strict=True)]
                 left, hit = df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
                 if f.relation.on_delete == "Cascade":
                     if child.name != model.name:

@@ -5,11 +5,15 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator, Mapping
 from contextvars import ContextVar
+from datetime import UTC, datetime
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.values import stored
 from ..schema.document import Model, Schema
 
 _open: ContextVar[dict[int, dict[str, DataFrame]] | None] = ContextVar("transactions", default=None)
@@ -69,11 +73,25 @@ class Snapshots:
                 self.put(m, df.select(*(F.col(f"`{f.db_name}`").alias(f.name) for f in m.scalars)))
 
 
-def typed_row(spark: SparkSession, df: DataFrame, model: Model, rows: list[Mapping[str, Any]], literal) -> DataFrame:
-    """Rows of values as a DataFrame with the columns and types of df."""
-    one = spark.range(1)
-    frames = [one.select(*(literal(model.field(f.name), r.get(f.name)).cast(f.dataType).alias(f.name) if model.field(f.name) else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema)) for r in rows]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def typed_rows(spark: SparkSession, df: DataFrame, model: Model, rows: list[Mapping[str, Any]]) -> DataFrame:
+    """Rows of values as one local table with the columns and types of df."""
+    fields = [model.field(f.name) for f in df.schema]
+    values = [tuple(None if f is None or r.get(f.name) is None else as_held(stored(f, r[f.name]), c.dataType) for f, c in zip(fields, df.schema, strict=True)) for r in rows]
+    return spark.createDataFrame(values, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema]))
+
+
+def as_held(value: Any, kind: T.DataType) -> Any:
+    """A value in the form that a column of a table takes, whose type may be another than the declared one."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return float(value)
+    if isinstance(kind, T.DecimalType):
+        return round(Decimal(str(value)), kind.scale)
+    if isinstance(kind, T.IntegralType):
+        return int(value)
+    if isinstance(kind, T.BinaryType):
+        return bytearray(value)
+    if isinstance(kind, T.DateType) and isinstance(value, datetime):
+        return value.date()
+    if isinstance(kind, T.TimestampType):
+        return value.replace(tzinfo=UTC)
+    return str(value) if isinstance(kind, T.StringType) else value
