@@ -22,8 +22,8 @@ either set. This bounds the sizes of a member's partners in a bucket.
 Documents that share a signature are verified, but not each against each: all members
 of a bucket against one of it, its hub, and in further rounds against other hubs of
 other components. What this joins to components needs no other pair; at the end
-only members of different components in one bucket are paired, by classes of the sizes
-that their signatures allow. That is exact for the components and linear for a large
+only members of different components in one bucket are paired, by signatures made anew
+from all of their grams' counts, and by classes of the sizes that these allow. That is exact for the components and linear for a large
 group of copies, and documents of one template that differ too much are not paired
 at all: what tells them apart is rare and comes first. Pairs are dropped early if their
 sizes, or the Hamming distance of 512-bit parity sketches (a lower bound of the
@@ -117,18 +117,19 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def frequent_maps(docs: DataFrame, known: DataFrame, size: int, threshold: int) -> list[np.ndarray]:
+def frequent_maps(docs: DataFrame, known: DataFrame, size: int, threshold: int, whole: bool = False) -> list[np.ndarray]:
     """Bitmaps, by a gram's top MAP_BITS bits, of frequent and of very frequent grams.
 
-    Counted are, over all documents, the lowest grams of each: few prefixes reach further.
+    Counted are, over all of docs, the lowest grams of each, as few prefixes reach further;
+    or all grams of whole sets.
     """
 
     def work(batches):
         for _, _, sets in _sets(batches, size):
-            low = [s[: _reach(len(s), threshold)] for s in sets]
+            low = sets if whole else [s[: _reach(len(s), threshold)] for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(low)))], names=["gram"])
 
-    total = known.agg(F.sum(F.expr(f"3 * (n - ceil({threshold} * n / 100) + 1) div 2 + 2"))).first()[0] or 0
+    total = known.agg(F.sum("n" if whole else F.expr(f"3 * (n - ceil({threshold} * n / 100) + 1) div 2 + 2"))).first()[0] or 0
     least = max(FREQUENT, int(total) >> (MAP_BITS - 4))
     counts = _plain(docs).mapInArrow(work, "gram long").groupBy("gram").count().where(F.col("count") >= least)
     return bitmap(counts.withColumn("slot", F.shiftrightunsigned("gram", 64 - MAP_BITS)), MAP_BITS, F.lit(True), F.col("count") >= VERY * least)
@@ -188,6 +189,22 @@ def _similar(threshold: int, size_a: str, size_b: str, both: str) -> str:
     return f"{both} * {100 + threshold} >= {threshold} * ({size_a} + {size_b})"
 
 
+def _likely(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """doc_id, text of docs without most of those that aren't among the n or 2 n of `wanted` (doc_id).
+
+    A map of bounded size lets tasks pass over them; an exact join has to follow.
+    """
+    bits = max(16, min(WANTED_BITS, (32 * n + 1).bit_length()))
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(slot.alias("slot")), bits)[0])
+
+    def work(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(seen.value, batch.column("slot").to_numpy().view(np.uint64)))).drop_columns("slot")
+
+    return _plain(docs).withColumn("slot", slot).mapInArrow(work, "doc_id long, text string")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, threshold: int) -> DataFrame:
     """The links among `pairs` (a, b). Sizes and sketches rule out most; the rest compare whole sets."""
     side = lambda x: known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -195,20 +212,12 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, thr
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
     left = settle(sized.withColumn("apart", apart).where(_similar(threshold, "n_a", "n_b", "(n_a + n_b - apart) / 2")).select("a", "b", "n_a", "n_b").distinct(), shared_dir(docs.sparkSession))
     wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # A map of bounded size lets tasks pass over most other texts; the join is exact.
-    bits = max(16, min(WANTED_BITS, (32 * left.count() + 1).bit_length()))
-    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(slot.alias("slot")), bits)[0])
-
-    def likely(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(seen.value, batch.column("slot").to_numpy().view(np.uint64)))).drop_columns("slot")
 
     def work(batches):
-        for batch, row, sets in _sets(likely(batches), size):
+        for batch, row, sets in _sets(batches, size):
             yield pa.RecordBatch.from_arrays([_ids(batch, row, len(sets)), _lists(sets)], names=["doc_id", "grams"])
 
-    sets = _plain(docs).withColumn("slot", slot).mapInArrow(work, "doc_id long, grams array<long>").join(wanted, "doc_id", "left_semi")
+    sets = _likely(docs, wanted, left.count()).mapInArrow(work, "doc_id long, grams array<long>").join(wanted, "doc_id", "left_semi")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g_{x}"))
     shared = F.size(F.array_intersect("g_a", "g_b")).cast("long")
     return left.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared).where(_similar(threshold, "n_a", "n_b", "shared")).select("a", "b", "shared")
@@ -219,9 +228,9 @@ def _check(threshold: int) -> None:
         raise ValueError("threshold: 50 to 100")
 
 
-def _signed_rows(some: DataFrame, known: DataFrame, docs: DataFrame, size: int, threshold: int, path: str) -> DataFrame:
+def _signed_rows(some: DataFrame, known: DataFrame, docs: DataFrame, size: int, threshold: int, path: str, whole: bool = False) -> DataFrame:
     """sig, doc_id, before: the signatures of some of docs, which have the profiles `known`."""
-    maps = docs.sparkSession.sparkContext.broadcast(frequent_maps(docs, known, size, threshold))
+    maps = docs.sparkSession.sparkContext.broadcast(frequent_maps(docs, known, size, threshold, whole))
 
     def sign(batches):
         for batch, row, sets in _sets(batches, size):
@@ -269,6 +278,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
         labels = grown(labels, edges(live.join(chosen, "sig").where("c <> hub_c").select(*pair("doc_id", "hub")).distinct()))
         live = live.select("sig", "doc_id", "before")
     # What is left in buckets of several components: members of one against those of others.
+    # These are few, so all of their grams are counted, and what is frequent among them is known.
+    members = settle(_divided(live, labels).select("doc_id").distinct(), f"{base}/members")
+    some = settle(_likely(docs, members, members.count()).join(members, "doc_id", "left_semi"), f"{base}/some")
+    live = _signed_rows(some, known.join(members, "doc_id", "left_semi"), some, size, threshold, f"{base}/signed_again", whole=True)
     rest = _rest(_divided(live, labels).join(own, "doc_id"), threshold, f"{base}/live")
     labels = grown(grown(labels, edges(rest)), copies)
     labels = labels.select(F.col("node").alias("doc_id"), "component")
@@ -318,7 +331,7 @@ def similar_pairs(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[
     same = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"))
     members = settle(known.join(same, ["hi", "lo"]).select("doc_id", "first"), f"{base}/members")
     firsts = members.select(F.col("first").alias("doc_id")).distinct()
-    rows = _signed_rows(docs.join(firsts, "doc_id", "left_semi"), known, docs, size, threshold, f"{base}/signed")
+    rows = _signed_rows(docs.join(firsts, "doc_id", "left_semi"), known, docs, size, threshold, f"{base}/signed", whole=True)
     own = known.select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
     pairs = _rest(rows.withColumn("c", F.col("doc_id")).join(own, "doc_id"), threshold, f"{base}/live")
     links = verified(pairs, docs, own, size, threshold)

@@ -354,3 +354,15 @@ def test_similar_pairs(spark):
     want = {(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a in names for b in names if a < b and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])}
     got = [tuple(x[c] for c in ("a", "b", "n_a", "n_b", "shared")) for x in pairs.collect()]
     assert len(want) > 100 and sorted(got) == sorted(want)
+
+
+def test_jaccard_template_is_not_paired(spark, monkeypatch):
+    """Documents of one template below the threshold share buckets, but none of their pairs is even looked at."""
+    from sparquill.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "VERY", 20)
+    seen, rest = [], jaccard_join._rest
+    monkeypatch.setattr(jaccard_join, "_rest", lambda *a: seen.append(rest(*a)) or seen[-1])
+    rows = [(i, " ".join(f"o{i}x{k}" if k in (20, 50, 80) else f"t{k}" for k in range(100))) for i in range(600)]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert found.select("component_id").distinct().count() == 600 and seen[0].count() == 0
