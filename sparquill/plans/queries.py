@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..client import Client
+from ..functions.json_rows import json_rows, typed_data, typed_where
 from ..schema import load
 from .star import SCHEMA
 
@@ -58,6 +59,9 @@ filters("where_not_in_empty", "Supplier", {"suppkey": {"notIn": []}}, "1 = 1", _
 filters("where_not_in_null", "Supplier", {"suppkey": {"notIn": [1, None]}}, "s_suppkey NOT IN (1, NULL)", _S)
 filters("where_range", "Order", {"totalprice": {"gte": 100000, "lt": 200000}}, "o_totalprice >= 100000 AND o_totalprice < 200000", _O)
 filters("where_datetime", "Order", {"orderdate": {"gte": datetime(1995, 1, 1), "lt": datetime(1996, 1, 1)}}, "o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'", _O)
+filters("where_zone", "Order", {"orderdate": {"lt": datetime(1995, 1, 1, 2, tzinfo=timezone(timedelta(hours=2)))}}, "o_orderdate < TIMESTAMP '1995-01-01'", _O)
+filters("where_fraction_of_int", "Part", {"size": {"lt": 25.5, "not": 7.5}}, "p_size < 25.5 AND p_size <> 7.5", _P)
+filters("where_beyond_int", "Part", {"size": {"lt": 3_000_000_000}, "NOT": {"size": 2.5}}, "p_size < 3000000000 AND NOT (p_size = 2.5)", _P)
 filters("where_contains", "Part", {"name": {"contains": "d wid"}}, "contains(p_name, 'd wid')", _P)
 filters("where_contains_literal", "Part", {"name": {"contains": "_1%"}}, "contains(p_name, '_1%')", _P)
 filters("where_starts_with", "Part", {"brand": {"startsWith": "Brand#1"}}, "starts_with(p_brand, 'Brand#1')", _P)
@@ -90,6 +94,8 @@ filters("rel_is_shorthand", "Customer", {"nation": {"regionkey": 2}}, "EXISTS (S
 filters("rel_is_not", "Document", {"label": {"isNot": {"quality": 1}}}, "NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND quality = 1)", _DOC)
 filters("rel_is_null", "Document", {"label": {"is": None}}, "NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)", _DOC)
 filters("rel_is_not_null", "Document", {"label": {"isNot": None}}, "EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)", _DOC)
+filters("rel_null_shorthand", "Document", {"label": None}, "EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)", _DOC)
+filters("rel_without_quantifier", "Order", {"lines": {"quantity": 5}, "orderstatus": "P"}, "o_orderstatus = 'P'", _O)
 filters("rel_quantifiers", "Order", {"lines": {"some": {"returnflag": "R"}, "none": {"returnflag": "A"}}}, f"EXISTS ({_LINES} AND l_returnflag = 'R') AND NOT EXISTS ({_LINES} AND l_returnflag = 'A')", _O)
 filters("rel_nested", "Region", {"nations": {"some": {"customers": {"some": {"orders": {"some": {"totalprice": {"gt": 490000}}}}}}}}, "EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 490000)))", "r_regionkey AS regionkey, r_name AS name")
 filters("rel_under_or", "Customer", {"OR": [{"acctbal": {"lt": 0}}, {"events": {"some": {"value": {"gt": 90}}}}]}, "c_acctbal < 0 OR EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND value > 90)", _C)
@@ -193,6 +199,22 @@ def group_by_having_composed(db):
     return db.order.group_by(by=["custkey"], _max={"totalprice": True}, having={"OR": [{"_count": {"_all": {"gt": 12}}}, {"totalprice": {"_max": {"gt": 490000}}}], "NOT": {"totalprice": {"_min": {"lt": 2000}}}})
 
 
+@query("SELECT count(*) AS _count_all, CAST(sum(p_size) AS BIGINT) AS _sum_size FROM part WHERE p_size < 30")
+def aggregate_without_page(db):
+    return db.part.aggregate(where={"size": {"lt": 30}}, _count=True, _sum={"size": True}, orderBy={"size": "asc"}, take=3, skip=2)
+
+
+@query("SELECT p_brand AS brand, count(*) AS _count_all FROM part GROUP BY p_brand ORDER BY p_brand DESC")
+def group_by_ordered(db):
+    return db.part.group_by(by=["brand"], _count=True, orderBy={"brand": "desc"})
+
+
+@query("SELECT p_brand AS brand, p_size AS size, count(*) AS _count_all FROM part GROUP BY p_brand, p_size HAVING count(*) <= 3 AND count(*) <> 2 OR p_size = 7 AND min(p_partkey) = max(p_partkey)")
+def group_by_having_comparisons(db):
+    single = {"OR": [{"AND": [{"_count": {"_all": {"lte": 3, "not": 2}}}]}, {"size": 7, "_count": {"partkey": {"equals": 1}}}]}
+    return db.part.group_by(by=["brand", "size"], _count=True, having=single)
+
+
 @query("SELECT DISTINCT p_brand AS brand, p_size AS size FROM part")
 def group_by_no_aggregate(db):
     return db.part.group_by(by=["brand", "size"])
@@ -232,6 +254,18 @@ def include_take_per_parent(db):
     return out.select("custkey", F.posexplode("orders").alias("at", "o")).select("custkey", "at", "o.orderkey", "o.totalprice")
 
 
+@query("SELECT c_custkey AS custkey, o_orderstatus AS orderstatus, o_orderkey AS orderkey FROM customer JOIN orders ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def include_distinct(db):
+    out = db.customer.find_many(include={"orders": {"distinct": ["orderstatus"], "orderBy": {"totalprice": "desc"}}})
+    return out.select("custkey", F.explode("orders").alias("o")).select("custkey", "o.orderstatus", "o.orderkey")
+
+
+@query("SELECT custkey, CAST(place AS INT) AS place, orderkey FROM (SELECT c_custkey AS custkey, o_orderkey AS orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) - 1 AS place FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'O')")
+def include_ordered(db):
+    out = db.customer.find_many(include={"orders": {"where": {"orderstatus": "O"}, "orderBy": [{"orderpriority": "desc"}, {"totalprice": "asc"}]}})
+    return out.select("custkey", F.posexplode("orders").alias("place", "o")).select("custkey", "place", "o.orderkey")
+
+
 @query("SELECT o_orderkey AS orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 20) AS n FROM orders")
 def relation_count(db):
     return db.order.find_many(include={"_count": {"select": {"lines": {"where": {"quantity": {"gt": 20}}}}}}).select("orderkey", F.col("_count.lines").alias("n"))
@@ -242,6 +276,11 @@ def fluent_traverse(db):
     return db.customer.traverse({"custkey": 11}, "orders", {"where": {"totalprice": {"gt": 1000}}})
 
 
+@query("SELECT l_orderkey AS orderkey, l_quantity AS quantity FROM lineitem WHERE l_quantity > 48 AND EXISTS (SELECT 1 FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = l_orderkey AND c_nationkey = 3 AND o_orderstatus = 'O')")
+def follow_chain(db):
+    return db.nation.follow({"nationkey": 3}).customers().orders({"orderstatus": "O"}).lines({"quantity": {"gt": 48}}).rows(select={"orderkey": True, "quantity": True})
+
+
 # The table after a write.
 @query("SELECT p_partkey AS partkey, CASE WHEN p_brand = 'Brand#11' THEN p_size + 5 ELSE p_size END AS size, CASE WHEN p_brand = 'Brand#11' THEN p_retailprice * 2 ELSE p_retailprice END AS retailprice FROM part")
 def update_increment(db):
@@ -280,6 +319,85 @@ def create_nested(db):
     return db.nation.find_many()
 
 
+@query("SELECT c_custkey AS custkey, CASE WHEN c_custkey = 5 THEN 'ONE' ELSE c_mktsegment END AS mktsegment, CASE WHEN c_custkey = 5 THEN c_acctbal - 10 ELSE c_acctbal END AS acctbal FROM customer")
+def update_one(db):
+    db.customer.update(where={"custkey": 5}, data={"mktsegment": "ONE", "acctbal": {"decrement": 10}})
+    db.customer.update(where={"custkey": 6}, data={})
+    return db.customer.find_many(select={"custkey": True, "mktsegment": True, "acctbal": True})
+
+
+@query("SELECT p_partkey AS partkey, p_size // 4 - 1 AS size, p_retailprice / 8 AS retailprice FROM part")
+def update_decrement_divide(db):
+    db.part.update_many(data={"size": {"divide": 4}, "retailprice": {"divide": 8}})
+    db.part.update_many(data={"size": {"decrement": 1}})
+    return db.part.find_many(select={"partkey": True, "size": True, "retailprice": True})
+
+
+@query("SELECT c_custkey AS custkey FROM customer WHERE c_custkey <> 9")
+def delete_one(db):
+    db.customer.delete(where={"custkey": 9})
+    return db.customer.find_many(select={"custkey": True})
+
+
+def _with_action(db: Client, action: str) -> Client:
+    """The same tables, with what happens to orders when their customer goes."""
+    text = SCHEMA.replace("fields: [custkey], references: [custkey])", f"fields: [custkey], references: [custkey], onDelete: {action})")
+    return Client(db.spark, load(text), db.source.read)
+
+
+@query("SELECT o_orderkey AS orderkey FROM orders WHERE o_custkey >= 100")
+def delete_cascade(db):
+    db = _with_action(db, "Cascade")
+    db.customer.delete_many(where={"custkey": {"lt": 100}})
+    return db.order.find_many(select={"orderkey": True})
+
+
+@query("SELECT o_orderkey AS orderkey, CASE WHEN o_custkey >= 100 THEN o_custkey END AS custkey FROM orders")
+def delete_set_null(db):
+    db = _with_action(db, "SetNull")
+    db.customer.delete_many(where={"custkey": {"lt": 100}})
+    return db.order.find_many(select={"orderkey": True, "custkey": True})
+
+
+@query("SELECT p_partkey AS partkey, CASE WHEN p_size > 3 THEN p_brand END AS brand FROM part ORDER BY CASE WHEN p_size > 3 THEN p_brand END NULLS FIRST, p_partkey LIMIT 40")
+def order_nulls_first(db):
+    db.part.update_many(where={"size": {"lte": 3}}, data={"brand": None})
+    return db.part.find_many(orderBy=[{"brand": "asc"}, {"partkey": "asc"}], take=40, select={"partkey": True, "brand": True})
+
+
+@query("SELECT n_nationkey AS nationkey, CASE WHEN n_nationkey IN (3, 4) THEN 0 WHEN n_regionkey = 0 AND n_nationkey = 5 THEN NULL ELSE n_regionkey END AS regionkey FROM nation WHERE n_nationkey <> 6 UNION ALL VALUES (60, 0), (61, 0)")
+def nested_children(db):
+    """Of one region's nations: create, connect, disconnect, delete, connectOrCreate."""
+    db.region.update(where={"regionkey": 0}, data={"nations": {"create": {"nationkey": 60, "name": "A"}, "connect": [{"nationkey": 3}], "disconnect": {"nationkey": 5, "regionkey": 0}, "delete": [{"nationkey": 6}], "connectOrCreate": [{"where": {"nationkey": 4}, "create": {"nationkey": 4, "name": "B"}}, {"where": {"nationkey": 61}, "create": {"nationkey": 61, "name": "C"}}]}})
+    return db.nation.find_many(select={"nationkey": True, "regionkey": True})
+
+
+@query("SELECT s_suppkey AS suppkey, CASE WHEN s_suppkey = 1 THEN 24 ELSE s_nationkey END AS nationkey FROM supplier UNION ALL VALUES (9001, 91)")
+def nested_owner(db):
+    """The owning side: connect, and create with the row."""
+    db.supplier.update(where={"suppkey": 1}, data={"nation": {"connect": {"nationkey": 24}}})
+    db.supplier.create(data={"suppkey": 9001, "name": "NEW", "acctbal": 1.5, "nation": {"create": {"nationkey": 91, "name": "N", "regionkey": 0}}})
+    return db.supplier.find_many(select={"suppkey": True, "nationkey": True})
+
+
+# JSON out and in.
+@query("""SELECT '{"custkey":"' || c_custkey || '","mktsegment":"' || c_mktsegment || '","nation":{"name":"' || n_name || '"}}' AS value FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def json_output(db):
+    return json_rows(db.customer.find_many(select={"custkey": True, "mktsegment": True, "nation": {"select": {"name": True}}}))
+
+
+@query(f"SELECT {_O} FROM orders WHERE o_custkey IN (7, 11) AND NOT (o_orderdate < TIMESTAMP '1994-01-01') OR o_orderkey = 1")
+def json_arguments(db):
+    text = {"OR": [{"custkey": {"in": ["7", "11"]}, "NOT": {"orderdate": {"lt": "1994-01-01T00:00:00.000Z"}}}, {"orderkey": "1"}]}
+    return db.order.find_many(where=typed_where(db.schema, db.schema.model("Order"), text))
+
+
+@query("SELECT r_regionkey AS regionkey, r_name AS name FROM region UNION ALL SELECT 70, 'JSON'")
+def json_data(db):
+    db.region.create(data=typed_data(db.schema, db.schema.model("Region"), {"regionkey": "70", "name": "JSON"}))
+    return db.region.find_many()
+
+
 # Extension and raw SQL.
 @query("SELECT c_custkey AS custkey, upper(c_name) || '/' || c_mktsegment AS label FROM customer")
 def computed_field(db):
@@ -292,6 +410,11 @@ def raw_sql(db):
     return db.query_raw("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > ? GROUP BY o_orderstatus", 250000)
 
 
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+def raw_template(db):
+    return db.query_raw(["SELECT c_custkey FROM customer WHERE c_acctbal > ", " AND c_mktsegment = ", ""], 5000, "BUILDING")
+
+
 @query("SELECT c_mktsegment AS mktsegment, count(*) AS _count_all, round(avg(c_acctbal), 6) AS avg_acctbal FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) AND EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = c_nationkey AND r_name IN ('ASIA', 'EUROPE')) GROUP BY c_mktsegment HAVING avg(c_acctbal) > 1000")
 def segments_of_large_orders(db):
     return flagship(db)

@@ -28,7 +28,7 @@ class Snapshots:
 
     def __init__(self, spark: SparkSession, schema: Schema, read: Callable[[str], DataFrame] | Mapping[str, DataFrame]):
         self.spark, self.schema = spark, schema
-        self._read = read if callable(read) else read.__getitem__
+        self.read = read if callable(read) else read.__getitem__
         self._current: dict[str, DataFrame] = {}
 
     def _versions(self) -> dict[str, DataFrame]:
@@ -38,7 +38,7 @@ class Snapshots:
         """The table of a model with its fields' names."""
         own = self._versions()
         if model.name not in own:
-            df = self._read(model.db_name)
+            df = self.read(model.db_name)
             own[model.name] = df.select(*(F.col(f"`{f.db_name}`").alias(f.name) for f in model.scalars))
         return own[model.name]
 
