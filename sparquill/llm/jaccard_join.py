@@ -229,15 +229,21 @@ def _check(threshold: int) -> None:
 
 
 def _signed_rows(some: DataFrame, known: DataFrame, docs: DataFrame, size: int, threshold: int, path: str, whole: bool = False) -> DataFrame:
-    """sig, doc_id, before: the signatures of some of docs, which have the profiles `known`."""
+    """sig, doc_id: the signatures of some of docs, which have the profiles `known`.
+
+    With whole they go by the counts of all grams, and have `before`, too.
+    """
     maps = docs.sparkSession.sparkContext.broadcast(frequent_maps(docs, known, size, threshold, whole))
 
     def sign(batches):
         for batch, row, sets in _sets(batches, size):
             sigs, before = zip(*(signatures(s, threshold, *maps.value) for s in sets), strict=True)
-            yield pa.RecordBatch.from_arrays([_ids(batch, row, len(sets)), _lists(list(sigs)), _lists([b.astype(np.int64) for b in before]).cast(pa.list_(pa.int32()))], names=["doc_id", "sigs", "before"])
+            more = {"before": _lists([b.astype(np.int64) for b in before])} if whole else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": _ids(batch, row, len(sets)), "sigs": _lists(list(sigs))} | more)
 
-    signed = settle(_plain(some).mapInArrow(sign, "doc_id long, sigs array<long>, before array<int>"), path)
+    signed = settle(_plain(some).mapInArrow(sign, "doc_id long, sigs array<long>" + ", before array<long>" * whole), path)
+    if not whole:
+        return signed.select(F.explode("sigs").alias("sig"), "doc_id")
     return signed.select(F.explode(F.arrays_zip("sigs", "before")).alias("s"), "doc_id").select(F.col("s.sigs").alias("sig"), "doc_id", F.col("s.before").alias("before"))
 
 
@@ -261,14 +267,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
     same = known.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = settle(same.select(F.col("first").alias("doc_id")).distinct(), f"{base}/firsts")
     copies = known.select("doc_id", "hi", "lo").join(same.where("first <> last"), ["hi", "lo"]).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    met = settle(rows.join(hubs, "sig").join(firsts, "doc_id", "left_semi").select("sig", "doc_id", "before", "hub"), f"{base}/met")
+    met = settle(rows.join(hubs, "sig").join(firsts, "doc_id", "left_semi").select("sig", "doc_id", "hub"), f"{base}/met")
     discard(spark, f"{base}/signed")
     own = known.where("n > 0").select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     edges = lambda pairs: verified(pairs, docs, own, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = edges(met.where("doc_id <> hub").select(*pair("doc_id", "hub")).distinct())
     labels = connected_components(links)
-    live = met.select("sig", "doc_id", "before")
+    live = met.select("sig", "doc_id")
     for k, hubs_each in enumerate(ROUNDS):
         live = settle(_divided(live, labels), f"{base}/live{k}")
         if not k:
@@ -276,7 +282,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
         hub = F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(hubs_each))).alias("x"), F.col("doc_id").alias("hub"), F.col("c").alias("hub_c")))
         chosen = live.groupBy("sig").agg(hub.alias("h")).select("sig", "h.hub", "h.hub_c")
         labels = grown(labels, edges(live.join(chosen, "sig").where("c <> hub_c").select(*pair("doc_id", "hub")).distinct()))
-        live = live.select("sig", "doc_id", "before")
+        live = live.select("sig", "doc_id")
     # What is left in buckets of several components: members of one against those of others.
     # These are few, so all of their grams are counted, and what is frequent among them is known.
     members = settle(_divided(live, labels).select("doc_id").distinct(), f"{base}/members")
@@ -340,8 +346,8 @@ def similar_pairs(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[
 
 
 def _divided(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of bucket members (sig, doc_id, before) those in buckets of several components, with theirs: sig, doc_id, before, c."""
-    placed = met.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", "before", F.coalesce("component", "doc_id").alias("c"))
+    """Of bucket members (sig, doc_id, ...) those in buckets of several components, with theirs: c."""
+    placed = met.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(*met.columns, F.coalesce("component", "doc_id").alias("c"))
     several = placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("sig")
     return placed.join(several, "sig", "left_semi")
 
