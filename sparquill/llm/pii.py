@@ -185,7 +185,7 @@ def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Counts and digests of what personal_data() found."""
+    """Counts and digests of what personal_data() found, a row for each of its rows: doc_id, n_KIND, base_sha256, spans."""
     base = F.concat(*(_joined(k, F.col(k)) for k in PATTERNS))
     return found.select(
         "doc_id",
@@ -200,10 +200,12 @@ def _generalised(kind: str, pieces: Column) -> Column:
     return _let(pieces, lambda p: F.array_join(F.zip_with(p["gaps"], p["hits"], lambda g, m: F.concat(g, hit(m))), ""))
 
 
-def sanitised(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text of docs with personal_data()'s entities generalised to <KIND> and terms removed.
+def sanitised(docs: DataFrame, found: DataFrame, term: str = "") -> DataFrame:
+    """doc_id, text of docs with personal_data()'s entities generalised to <KIND>, and its terms to `term` (by default removed).
 
-    Where spans overlap, the kind listed first takes the text.
+    Where spans overlap, the kind listed first takes the text. A row per row of docs; a
+    null text becomes an empty one. Rows are told apart by text, so `found` has to be of
+    these docs. Other columns are ignored. An empty table gives an empty result.
     """
     spans = found.select("t", *PATTERNS, "term").dropDuplicates(["t"])
     rows = docs.select("doc_id", null_safe_text().cast("string").alias("text")).withColumn("t", F.xxhash64("text")).join(spans, "t")
@@ -211,5 +213,5 @@ def sanitised(docs: DataFrame, found: DataFrame) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         text = F.when(F.size(kind) > 0, _generalised(kind, _pieces(text, F.lit(pattern)))).otherwise(text)
     words = F.array_distinct(F.transform("term", lambda x: F.concat(F.lit("\\Q"), x["m"], F.lit("\\E"))))
-    gone = F.regexp_replace(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])")), F.lit(""))
+    gone = F.regexp_replace(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])")), F.lit(term.replace("\\", "\\\\").replace("$", "\\$")))
     return rows.select("doc_id", F.when(F.size("term") > 0, gone).otherwise(text).alias("text"))

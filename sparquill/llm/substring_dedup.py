@@ -91,7 +91,12 @@ def sentence_spans(docs: DataFrame, how: Spans) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
-    """Every span that isn't the first of its kind: SPANS, first_doc_id."""
+    """Every span that isn't the first of its kind: SPANS, first_doc_id.
+
+    The first is that of the least doc_id (null before others), text hash and place. Null
+    texts have no spans; rows equal in doc_id and text have the same spans, so none of them
+    repeats the other. Other columns are ignored; an empty table gives an empty result.
+    """
     found = sentence_spans(docs, how)
     place = F.struct("doc_id", "text_hash", "first")
     # The least place is a partial aggregate, so a span of very many documents is one row a task.

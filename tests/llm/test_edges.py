@@ -203,6 +203,7 @@ def test_pii(spark, mixed, none):
     data = pii.personal_data(rows)
     got = {r["doc_id"]: r["spans"] for r in pii.digests(data).collect()}
     assert got[9] == "ip:69:78,card:10:29,phone:33:51,term:0:7" and got[8] == "" and got[1].startswith("email:20:40,term:0:7")
+    assert {r["doc_id"]: r["text"] for r in pii.sanitised(rows, data, "<TERM>").collect()}[1].startswith("<TERM> called from <EMAIL> today")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(rows, data).collect()}
     assert clean[9] == " é <CARD> or <PHONE> or 10.0.0.256 or <IP>" and clean[1].startswith(" called from <EMAIL> today")
 
@@ -279,3 +280,37 @@ def test_decontaminate_probes(spark):
     bench = spark.createDataFrame(list(enumerate([*short, long])), "item_id long, text string")
     rows = docs(spark, [(i, f"Some text goes first. {x} And after it.", "a") for i, x in enumerate(short)] + [(3, long.replace(" 100 ", " 55 ", 1), "a")])
     assert found(decontaminate.contaminated(rows, bench), "doc_id", "item_id") == [(i, i) for i in range(4)]
+
+
+def test_very_long_texts(spark):
+    """A text of 150,000 words, and its copy, through every operator that reads documents or turns."""
+    long = " ".join(f"w{i}." if i % 12 == 0 else f"w{i}" for i in range(150_000)) + " password=abcdefghijkl0 box@mail.example.org"
+    rows = docs(spark, [(1, long, "a"), (2, long, "a"), (3, "short", "a")])
+    got = found(jaccard_join.jaccard_components(rows, 4, 85), "doc_id", "n_shingles", "component_id")
+    assert got == [(1, 149_999, 1), (2, 149_999, 1), (3, 1, 3)]
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}." if i % 12 == 0 else f"w{i}" for i in range(80_000, 80_100)))], "item_id long, text string")
+    assert found(decontaminate.contaminated(rows, bench), "doc_id", "item_id", "n_found") == [(1, 1, 93), (2, 1, 93)]
+    assert found(substring_dedup.remove_repeats(rows), "doc_id", "first_doc_id") == [(2, 1)]
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.quality(rows).collect()} == {1: 150_002, 2: 150_002, 3: 1}
+    assert [len(r["spans"]) for r in secret_scan.find_secrets(rows).orderBy("doc_id").collect()] == [1, 1, 0]
+    assert [r["n_email"] for r in pii.digests(pii.personal_data(rows)).orderBy("doc_id").collect()] == [1, 1, 0]
+    pieces = packing.pack(rows, ranks()).collect()
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 1) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == 1) > 300_000
+    turns = spark.createDataFrame([(1, 0, "user", long + "<|im_end|>"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    read = chat_format.read_conversations(chat_format.format_conversations(turns)).first()["turns"]
+    assert [t["text"] for t in read] == [long + "<|im_end|>", long]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null ids and texts, repeated rows and ids, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60)) + "."
+    rows = docs(spark, [(1, text(1), "a"), (1, text(1), "a"), (2, text(1), None), (None, text(3), "a"), (3, None, "a"), (4, "", "a"), (5, text(5), "b"), (5, text(6), "b"), (6, f"{text(7)} {text(8)} password=abcdefghijkl0", "b")])
+    bench = spark.createDataFrame([(1, text(8)), (None, None)], "item_id long, text string")
+    for name, table in (("some", rows), ("none", rows.where("doc_id = -1"))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert sorted({r["doc_id"] for r in pieces}, key=repr) == [1, 5, None] and sum(r["start"] == 0 for r in pieces) == 3
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -366,3 +366,104 @@ def test_jaccard_template_is_not_paired(spark, monkeypatch):
     rows = [(i, " ".join(f"o{i}x{k}" if k in (20, 50, 80) else f"t{k}" for k in range(100))) for i in range(600)]
     found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
     assert found.select("component_id").distinct().count() == 600 and seen[0].count() == 0
+
+
+ALNUM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
+
+
+def cut_sentences(text, window=11):
+    """Words (lowered), their first places, and where sentences begin, by the rules in plain words."""
+    from sparquill.llm.common import hash_of
+
+    found = [(lowered(m[0]), m.start(), m.end()) for m in ALNUM.finditer(text)]
+    heads = [k for k in range(len(found)) if not k or re.search("[.!?\n]", text[found[k - 1][2] : found[k][1]])]
+    keys = [hash_of(w) & ~63 for w, _, _ in found]
+    cuts = set(heads)
+    for a, b in zip(heads, [*heads[1:], len(found)], strict=True):
+        for k in range(a, b - window + 1):
+            cuts.add(max(range(k, k + window), key=lambda j: (-keys[j], j)))
+    return [w for w, _, _ in found], [x for _, x, _ in found], sorted(cuts)
+
+
+def test_substring_brute_force(spark, sf_dir, texts):
+    """Every span of sentences of the smallest table by hand: what is removed, and what is left."""
+    cut = {i: cut_sentences(t) for i, t in texts.items()}
+    first, own = {}, defaultdict(list)
+    for i in sorted(cut):
+        words, _, heads = cut[i]
+        ends = [*heads[1:], len(words)]
+        for k, a in enumerate(heads):
+            last = next((j for j in range(k + 1, len(heads)) if ends[j] - a >= 20), None)
+            if last is not None:
+                key = tuple(words[a : ends[last]])
+                first.setdefault(key, (i, k))
+                own[i].append((key, k, last))
+    want = {}
+    for i, spans in own.items():
+        again = [(first[key], k, last) for key, k, last in spans if first[key] != (i, k)]
+        if again:
+            words, starts, heads = cut[i]
+            gone = {j for _, k, last in again for j in range(k, last + 1)}
+            ends, edges = [*heads[1:], len(words)], [*(starts[h] for h in heads), len(texts[i])]
+            left = texts[i][: edges[0]] + "".join(texts[i][edges[j] : edges[j + 1]] for j in range(len(heads)) if j not in gone)
+            want[i] = (min(p[0] for p, _, _ in again), len(heads), len(gone), sum(ends[j] - heads[j] for j in gone), left)
+    got = {r["doc_id"]: (r["first_doc_id"], r["n_sentences"], r["n_removed"], r["removed_words"], r["text"]) for r in queries.op6_substring_dedup(spark, sf_dir).collect()}
+    assert want and got == want
+
+
+def test_substring_recall(spark):
+    """Documents of sf0.01 that repeat 51 words in a row of an earlier one lose words, and hardly any others do."""
+    d = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{d}/documents.parquet' ORDER BY doc_id").fetchall()
+
+    def runs(text, n):
+        w = [lowered(x) for x in ALNUM.findall(text)]
+        return [hash(tuple(w[k : k + n])) for k in range(len(w) - n + 1)]
+
+    repeats = {}
+    for n in (20, 51):
+        seen, repeats[n] = set(), set()
+        for i, t in rows:
+            own = runs(t, n)
+            if any(x in seen for x in own) or len(set(own)) < len(own):
+                repeats[n].add(i)
+            seen.update(own)
+    got = {r["doc_id"] for r in queries.op6_substring_dedup(spark, d).select("doc_id").collect()}
+    assert repeats[51] and repeats[51] <= got <= repeats[20]
+
+
+def test_disclosing_terms_brute_force(spark, sf_dir, texts, tmp_path):
+    """Terms of the smallest table and of planted texts by hand, and where they stand."""
+    import math
+
+    import regex
+
+    rows = dict(texts)
+    for k in range(5):
+        rows[9000 + k] = f"Dear Quixada, item {k}. Write to box@mail.example.org or Quixada-Hall {k}"
+        rows[9100 + k] = f"Zorbanel keeps +44 20 7946 0958 and 4111 1111 1111 1111, number {k}"
+    rows |= {9200: "Zorbanel and quixada again, zorbanels not", 9201: rows[9000], 9202: "QUIXADA", 9203: ""}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    term = regex.compile(r"(?<![\p{L}\p{N}])\p{L}[\p{L}'\u2019-]*+\p{L}?(?![\p{L}\p{N}])")
+    terms = lambda t: {m[0] for m in term.finditer(t.lower())}
+    spoken = lambda k, m: m.lower() if k == "email" else m if k == "ip" else re.sub(r"[\x20().-]", "", m)
+    different = set(rows.values())
+    df_term, df_entity, c = Counter(), Counter(), Counter()
+    for t in different:
+        df_term.update(terms(t))
+        found = {(k, m[0]) for k, p in PATTERNS.items() for m in re.finditer(p, t) if holds(k, m[0])}
+        entities = {(k, spoken(k, m)) for k, m in found}
+        df_entity.update(entities)
+        if entities:
+            near = terms(regex.sub("|".join(regex.escape(m) for m in sorted({m for _, m in found}, reverse=True)), " ", t))
+            c.update((w, e) for w in near for e in entities)
+    strong = {w for (w, e), n in c.items() if n >= 3 and n >= 0.5 * df_term[w] and math.log2(n * len(different) / (df_term[w] * df_entity[e])) >= 4}
+    assert {"quixada", "zorbanel"} <= strong
+    got = {r["doc_id"]: r["spans"] for r in queries.op10_pii(spark, str(tmp_path)).collect()}
+    for i, t in rows.items():
+        spans = [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, t) if holds(k, m[0])]
+        own = sorted(strong & terms(t))
+        if own:
+            any_of = regex.compile(r"(?<![\p{L}\p{N}])(?i:" + "|".join(map(regex.escape, own)) + r")(?![\p{L}\p{N}])")
+            spans += [f"term:{m.start()}:{m.end()}" for m in any_of.finditer(t)]
+        assert got[i] == ",".join(spans), i
