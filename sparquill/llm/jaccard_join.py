@@ -22,8 +22,8 @@ either set. This bounds the sizes of a member's partners in a bucket.
 Documents that share a signature are verified, but not each against each: all members
 of a bucket against one of it, its hub, and in further rounds against other hubs of
 other components. What this joins to components needs no other pair; at the end
-only members of different components in one bucket are paired, by signatures made anew
-from all of their grams' counts, and by classes of the sizes that these allow. That is exact for the components and linear for a large
+only members of different components in one bucket are paired, in large buckets by signatures
+made anew from the counts of all their grams, and by classes of the sizes that these allow. That is exact for the components and linear for a large
 group of copies, and documents of one template that differ too much are not paired
 at all: what tells them apart is rare and comes first. Pairs are dropped early if their
 sizes, or the Hamming distance of 512-bit parity sketches (a lower bound of the
@@ -59,6 +59,8 @@ ROUNDS = (4, 16)
 #: Most bits of the map of documents that a verification reads (16 MB); beyond some 10**8
 #: documents it thins out less, and the join behind it does the rest.
 WANTED_BITS = 27
+#: Members of a bucket that are paired as they are; larger buckets go by counts of whole sets.
+PAIRED = 128
 #: Sizes of one class are within this factor of each other.
 CLASS = 1.05
 
@@ -284,12 +286,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
         labels = grown(labels, edges(live.join(chosen, "sig").where("c <> hub_c").select(*pair("doc_id", "hub")).distinct()))
         live = live.select("sig", "doc_id")
     # What is left in buckets of several components: members of one against those of others.
-    # These are few, so all of their grams are counted, and what is frequent among them is known.
-    members = settle(_divided(live, labels).select("doc_id").distinct(), f"{base}/members")
-    some = settle(_likely(docs, members, members.count()).join(members, "doc_id", "left_semi"), f"{base}/some")
-    live = _signed_rows(some, known.join(members, "doc_id", "left_semi"), some, size, threshold, f"{base}/signed_again", whole=True)
-    rest = _rest(_divided(live, labels).join(own, "doc_id"), threshold, f"{base}/live")
-    labels = grown(grown(labels, edges(rest)), copies)
+    live = settle(_divided(live, labels), f"{base}/left")
+    large = settle(live.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > PAIRED).select("sig"), f"{base}/large")
+    labels = grown(labels, edges(_paired(live.join(large, "sig", "left_anti").join(own, "doc_id"), threshold, f"{base}/small")))
+    # A similar pair that no small bucket holds has both of its members in large ones. Their
+    # grams are counted wholly, and the signatures by these counts find the pair again.
+    members = settle(live.join(large, "sig", "left_semi").select("doc_id").distinct(), f"{base}/members")
+    if not members.isEmpty():
+        some = settle(_likely(docs, members, members.count()).join(members, "doc_id", "left_semi"), f"{base}/some")
+        again = _signed_rows(some, known.join(members, "doc_id", "left_semi"), some, size, threshold, f"{base}/signed_again", whole=True)
+        labels = grown(labels, edges(_by_size(_divided(again, labels).join(own, "doc_id"), threshold, f"{base}/again")))
+    labels = grown(labels, copies)
     labels = labels.select(F.col("node").alias("doc_id"), "component")
     return known.select("doc_id", "n").join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -300,21 +307,36 @@ def _classes(low, high):
     return F.expr(f"case when {low} <= {high} then sequence({place(low)}, {place(high)}) else cast(array() as array<int>) end")
 
 
-def _rest(live: DataFrame, threshold: int, path: str) -> DataFrame:
-    """Pairs (a, b) of members (sig, doc_id, before, c, n, sketch) of a bucket that may be similar, of different components.
+def _sketches() -> list:
+    return [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(8)]
+
+
+def _fitting(threshold: int) -> str:
+    """SQL: sizes n and n_ and the distance of sketches s0.. and s0_.. don't exclude the threshold."""
+    apart = " + ".join(f"bit_count(s{i} ^ s{i}_)" for i in range(8))
+    return f"100 * least(n, n_) >= {threshold} * greatest(n, n_) and {_similar(threshold, 'n', 'n_', f'(n + n_ - ({apart})) / 2')}"
+
+
+def _paired(live: DataFrame, threshold: int, path: str) -> DataFrame:
+    """Pairs (a, b) of members (sig, doc_id, c, n, sketch) of one bucket that may be similar, of different components."""
+    live = settle(live.select("sig", "doc_id", "c", "n", *_sketches()), path)
+    other = live.select("sig", *(F.col(x).alias(f"{x}_") for x in live.columns if x != "sig"))
+    return live.join(other, "sig").where(f"doc_id < doc_id_ and c <> c_ and {_fitting(threshold)}").select(F.col("doc_id").alias("a"), F.col("doc_id_").alias("b")).distinct()
+
+
+def _by_size(live: DataFrame, threshold: int, path: str) -> DataFrame:
+    """As _paired, for buckets of any size, of members that also have `before`.
 
     n - before of either member bounds what the pair shares; so of both, the larger is
     matched with those classes of sizes that its own bound allows.
     """
-    sketch = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(8)]
     most = F.expr(f"(n - before) * {100 + threshold} div {threshold} - n")  # the largest partner
-    live = settle(live.select("sig", "doc_id", "c", "n", most.alias("most"), *sketch), path)
+    live = settle(live.select("sig", "doc_id", "c", "n", most.alias("most"), *_sketches()), path)
     smaller = live.withColumn("class", F.explode(_classes("n", "n")))
     larger = live.withColumn("class", F.explode(_classes(f"cast(ceil({threshold} * n / 100) as long)", "least(n, most)")))
-    larger = larger.select("sig", "class", *(F.col(x).alias(f"{x}_") for x in ("doc_id", "c", "n", "most", *(f"s{i}" for i in range(8)))))
-    apart = " + ".join(f"bit_count(s{i} ^ s{i}_)" for i in range(8))
-    fits = F.expr(f"(n < n_ or n = n_ and doc_id < doc_id_) and 100 * n >= {threshold} * n_ and n_ <= most and n <= most_ and {_similar(threshold, 'n', 'n_', f'(n + n_ - ({apart})) / 2')}")
-    return smaller.join(larger, ["sig", "class"]).where(fits & F.expr("c <> c_")).select(F.least("doc_id", "doc_id_").alias("a"), F.greatest("doc_id", "doc_id_").alias("b")).distinct()
+    larger = larger.select("sig", "class", *(F.col(x).alias(f"{x}_") for x in live.columns if x != "sig"))
+    fits = f"(n < n_ or n = n_ and doc_id < doc_id_) and c <> c_ and n_ <= most and n <= most_ and {_fitting(threshold)}"
+    return smaller.join(larger, ["sig", "class"]).where(fits).select(F.least("doc_id", "doc_id_").alias("a"), F.greatest("doc_id", "doc_id_").alias("b")).distinct()
 
 
 def similar_pairs(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -339,7 +361,7 @@ def similar_pairs(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[
     firsts = members.select(F.col("first").alias("doc_id")).distinct()
     rows = _signed_rows(docs.join(firsts, "doc_id", "left_semi"), known, docs, size, threshold, f"{base}/signed", whole=True)
     own = known.select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
-    pairs = _rest(rows.withColumn("c", F.col("doc_id")).join(own, "doc_id"), threshold, f"{base}/live")
+    pairs = _by_size(rows.withColumn("c", F.col("doc_id")).join(own, "doc_id"), threshold, f"{base}/live")
     links = verified(pairs, docs, own, size, threshold)
     side = lambda x: own.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
     return links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "shared"), members

@@ -66,6 +66,7 @@ def test_jaccard_with_frequent_grams(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
     monkeypatch.setattr(jaccard_join, "VERY", 6)
+    monkeypatch.setattr(jaccard_join, "PAIRED", 4)
     r = random.Random(3)
     rows = {}
     for g in range(12):
@@ -361,8 +362,8 @@ def test_jaccard_template_is_not_paired(spark, monkeypatch):
     from sparquill.llm import jaccard_join
 
     monkeypatch.setattr(jaccard_join, "VERY", 20)
-    seen, rest = [], jaccard_join._rest
-    monkeypatch.setattr(jaccard_join, "_rest", lambda *a: seen.append(rest(*a)) or seen[-1])
+    seen, pairs = [], jaccard_join._by_size
+    monkeypatch.setattr(jaccard_join, "_by_size", lambda *a: seen.append(pairs(*a)) or seen[-1])
     rows = [(i, " ".join(f"o{i}x{k}" if k in (20, 50, 80) else f"t{k}" for k in range(100))) for i in range(600)]
     found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
     assert found.select("component_id").distinct().count() == 600 and seen[0].count() == 0
