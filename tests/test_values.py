@@ -203,3 +203,18 @@ def test_defaults_and_stamps(spark):
     assert db.a.update(where={"id": 1}, data={"s": "y"}).first()["up"] >= first["up"]
     assert db.a.update(where={"id": 2}, data={}).first()["up"] == second["up"]
     assert db.a.find_many().select(F.count_distinct("c").alias("n")).first()["n"] == 2
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv", "table"])
+def test_sources(spark, tmp_path, kind):
+    rows = spark.createDataFrame([(1, "x", 0.5), (2, None, 1.5)], "id int, name string, v double")
+    schema = "model Row {\n id Int @id\n name String?\n v Float\n @@map(\"kept_rows\")\n}"
+    if kind == "table":
+        rows.createOrReplaceTempView("kept_rows")
+        db = Client(spark, schema, "table:")
+    else:
+        rows.write.format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(f"{tmp_path}/kept_rows.{kind}")
+        db = Client(spark, schema, f"{kind}:{tmp_path}", **({"inferSchema": "true"} if kind == "csv" else {}))
+    assert [(r["id"], r["name"], r["v"]) for r in db.row.find_many(where={"v": {"gte": 0.5}}, orderBy={"id": "asc"}).collect()] == [(1, "x", 0.5), (2, None, 1.5)]
+    if kind == "table":
+        spark.catalog.dropTempView("kept_rows")
