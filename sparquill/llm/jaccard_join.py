@@ -36,7 +36,7 @@ are found, so it may live in a bitmap of fixed size.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,20 +191,21 @@ def _similar(threshold: int, size_a: str, size_b: str, both: str) -> str:
     return f"{both} * {100 + threshold} >= {threshold} * ({size_a} + {size_b})"
 
 
-def _likely(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """doc_id, text of docs without most of those that aren't among the n or 2 n of `wanted` (doc_id).
+def _likely(docs: DataFrame, wanted: DataFrame, n: int) -> tuple[DataFrame, Callable]:
+    """doc_id, text, slot of docs, and a step that leaves out most that aren't among the n or 2 n of `wanted` (doc_id).
 
-    A map of bounded size lets tasks pass over them; an exact join has to follow.
+    It goes by a map of bounded size, within the Python worker that reads the texts; an
+    exact join has to follow.
     """
     bits = max(16, min(WANTED_BITS, (32 * n + 1).bit_length()))
     slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
     seen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(slot.alias("slot")), bits)[0])
 
-    def work(batches):
+    def thin(batches):
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(seen.value, batch.column("slot").to_numpy().view(np.uint64)))).drop_columns("slot")
 
-    return _plain(docs).withColumn("slot", slot).mapInArrow(work, "doc_id long, text string")
+    return _plain(docs).withColumn("slot", slot), thin
 
 
 def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -215,11 +216,13 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, thr
     left = settle(sized.withColumn("apart", apart).where(_similar(threshold, "n_a", "n_b", "(n_a + n_b - apart) / 2")).select("a", "b", "n_a", "n_b").distinct(), shared_dir(docs.sparkSession))
     wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
+    rows, thin = _likely(docs, wanted, left.count())
+
     def work(batches):
-        for batch, row, sets in _sets(batches, size):
+        for batch, row, sets in _sets(thin(batches), size):
             yield pa.RecordBatch.from_arrays([_ids(batch, row, len(sets)), _lists(sets)], names=["doc_id", "grams"])
 
-    sets = _likely(docs, wanted, left.count()).mapInArrow(work, "doc_id long, grams array<long>").join(wanted, "doc_id", "left_semi")
+    sets = rows.mapInArrow(work, "doc_id long, grams array<long>").join(wanted, "doc_id", "left_semi")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g_{x}"))
     shared = F.size(F.array_intersect("g_a", "g_b")).cast("long")
     return left.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared).where(_similar(threshold, "n_a", "n_b", "shared")).select("a", "b", "shared")
@@ -293,7 +296,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
     # grams are counted wholly, and the signatures by these counts find the pair again.
     members = settle(live.join(large, "sig", "left_semi").select("doc_id").distinct(), f"{base}/members")
     if not members.isEmpty():
-        some = settle(_likely(docs, members, members.count()).join(members, "doc_id", "left_semi"), f"{base}/some")
+        some, thin = _likely(docs, members, members.count())
+        some = settle(some.mapInArrow(thin, "doc_id long, text string").join(members, "doc_id", "left_semi"), f"{base}/some")
         again = _signed_rows(some, known.join(members, "doc_id", "left_semi"), some, size, threshold, f"{base}/signed_again", whole=True)
         labels = grown(labels, edges(_by_size(_divided(again, labels).join(own, "doc_id"), threshold, f"{base}/again")))
     labels = grown(labels, copies)
