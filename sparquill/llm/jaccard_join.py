@@ -141,8 +141,8 @@ def _in_map(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return in_bitmap(bits, s >> np.uint64(64 - MAP_BITS))
 
 
-def signatures(s: np.ndarray, threshold: int, some: np.ndarray, very: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of one set (sorted uint64 grams), and how many grams count before each one's last."""
+def signatures(s: np.ndarray, threshold: int, some: np.ndarray, very: np.ndarray, placed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set (sorted uint64 grams), and if placed how many grams count before each one's last."""
     n = len(s)
     if not n:
         return s, np.zeros(0, np.int64)
@@ -179,9 +179,11 @@ def signatures(s: np.ndarray, threshold: int, some: np.ndarray, very: np.ndarray
                         if size == 3:
                             x, c = np.nonzero(b[:, None] < np.arange(len(own))[None, :])
                             combined, last = mix(combined[x] + grams[own[c]]), c
-                        out.append((combined, at[own[last]]))
+                        out.append((combined, at[own[last]] if placed else at[:0]))
     if not out:
         return s[:0], np.zeros(0, np.int64)
+    if not placed:
+        return np.unique(np.concatenate([x for x, _ in out])), s[:0]
     sigs, first = np.unique(np.concatenate([x for x, _ in out]), return_index=True)
     return sigs, np.concatenate([x for _, x in out])[first]
 
@@ -242,7 +244,7 @@ def _signed_rows(some: DataFrame, known: DataFrame, docs: DataFrame, size: int,
 
     def sign(batches):
         for batch, row, sets in _sets(batches, size):
-            sigs, before = zip(*(signatures(s, threshold, *maps.value) for s in sets), strict=True)
+            sigs, before = zip(*(signatures(s, threshold, *maps.value, whole) for s in sets), strict=True)
             more = {"before": _lists([b.astype(np.int64) for b in before])} if whole else {}
             yield pa.RecordBatch.from_pydict({"doc_id": _ids(batch, row, len(sets)), "sigs": _lists(list(sigs))} | more)
 
