@@ -37,13 +37,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, in_bitmap, mix, settle, shared_dir, shingle_hashes, text_slices, unused, without, word_hashes
+from .common import bitmap, discard, in_bitmap, mix, settle, shared_dir, shingle_hashes, short_lived_shuffles, text_slices, unused, without, word_hashes
 from .components import connected_components, grown
 
 #: The bitmap of frequent grams has 2**MAP_BITS bits (8 MB), whatever the input.
@@ -63,6 +64,11 @@ WANTED_BITS = 27
 PAIRED = 128
 #: Sizes of one class are within this factor of each other.
 CLASS = 1.05
+#: Sketches of 512 bits tell sets of up to so many grams apart; larger sets have a finer one, too.
+COARSE = 256
+#: Signatures go through their joins in slices, one after the other, so that only one slice's
+#: shuffles are on disk at once: one for so many counted grams, and at most so many, as a power of 2.
+SLICE, SLICES = 1 << 24, 16
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -87,11 +93,16 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(_signed(np.concatenate(arrays)) if arrays else np.zeros(0, np.int64)))
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(11)).astype(np.int64) & 511, minlength=512).astype(np.uint8) & 1
+def _sketch(s: np.ndarray, width: int = 512) -> np.ndarray:
+    bits = np.bincount((s >> np.uint64(11)).astype(np.int64) & (width - 1), minlength=width).astype(np.uint8) & 1
     return np.packbits(bits).view(np.uint64)
 
 
+def _fine(s: np.ndarray) -> np.ndarray:
+    """The parity bits of a large set, two or more for each gram; a power of 2 of them."""
+    return _sketch(s, 1 << (2 * len(s) - 1).bit_length()) if len(s) > COARSE else s[:0]
+
+
 def _ids(batch: pa.RecordBatch, row: int, n: int) -> pa.Array:
     return batch.column(batch.schema.get_field_index("doc_id")).slice(row, n)
 
@@ -102,38 +113,42 @@ def _reach(n, threshold: int):
 
 
 def profiles(docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """doc_id, n, (hi, lo): digest of the set, sketch: its parity bits."""
+    """doc_id, n, (hi, lo): digest of the set, sketch: its parity bits, fine: more of them if the set is large."""
 
     def work(batches):
         for batch, row, sets in _sets(batches, size):
             digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [_ids(batch, row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists([_sketch(s) for s in sets])],
-                names=["doc_id", "n", "hi", "lo", "sketch"],
+                [_ids(batch, row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists([_sketch(s) for s in sets]), _lists([_fine(s) for s in sets])],
+                names=["doc_id", "n", "hi", "lo", "sketch", "fine"],
             )
 
-    return _plain(docs).mapInArrow(work, "doc_id long, n long, hi long, lo long, sketch array<long>")
+    return _plain(docs).mapInArrow(work, "doc_id long, n long, hi long, lo long, sketch array<long>, fine array<long>")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def frequent_maps(docs: DataFrame, known: DataFrame, size: int, threshold: int, whole: bool = False) -> list[np.ndarray]:
+def _counted(known: DataFrame, threshold: int, whole: bool = False) -> int:
+    """How many grams frequent_maps() counts in sets with the profiles `known`."""
+    return int(known.agg(F.sum("n" if whole else F.expr(f"3 * (n - ceil({threshold} * n / 100) + 1) div 2 + 2"))).first()[0] or 0)
+
+
+def frequent_maps(docs: DataFrame, total: int, size: int, threshold: int, whole: bool = False, thin: Callable = iter) -> list[np.ndarray]:
     """Bitmaps, by a gram's top MAP_BITS bits, of frequent and of very frequent grams.
 
-    Counted are, over all of docs, the lowest grams of each, as few prefixes reach further;
-    or all grams of whole sets.
+    Counted are, over all of docs (doc_id, text) that `thin` leaves, the lowest grams of each,
+    as few prefixes reach further; or all grams of whole sets. They are about `total`.
     """
 
     def work(batches):
-        for _, _, sets in _sets(batches, size):
+        for _, _, sets in _sets(thin(batches), size):
             low = sets if whole else [s[: _reach(len(s), threshold)] for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(low)))], names=["gram"])
 
-    total = known.agg(F.sum("n" if whole else F.expr(f"3 * (n - ceil({threshold} * n / 100) + 1) div 2 + 2"))).first()[0] or 0
-    least = max(FREQUENT, int(total) >> (MAP_BITS - 4))
-    counts = _plain(docs).mapInArrow(work, "gram long").groupBy("gram").count().where(F.col("count") >= least)
+    least = max(FREQUENT, total >> (MAP_BITS - 4))
+    counts = docs.mapInArrow(work, "gram long").groupBy("gram").count().where(F.col("count") >= least)
     return bitmap(counts.withColumn("slot", F.shiftrightunsigned("gram", 64 - MAP_BITS)), MAP_BITS, F.lit(True), F.col("count") >= VERY * least)
 
 
@@ -211,11 +226,18 @@ def _likely(docs: DataFrame, wanted: DataFrame, n: int) -> tuple[DataFrame, Call
 
 
 def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The links among `pairs` (a, b). Sizes and sketches rule out most; the rest compare whole sets."""
+    """The links among `pairs` (a, b). Sizes and two sketches rule out most; the rest compare whole sets."""
     side = lambda x: known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-    left = settle(sized.withColumn("apart", apart).where(_similar(threshold, "n_a", "n_b", "(n_a + n_b - apart) / 2")).select("a", "b", "n_a", "n_b").distinct(), shared_dir(docs.sparkSession))
+    sized = sized.withColumn("apart", apart).where(_similar(threshold, "n_a", "n_b", "(n_a + n_b - apart) / 2")).select("a", "b", "n_a", "n_b")
+    # Of similar sets the finer sketch of the larger has as many bits or twice as many, and is folded then.
+    finer = lambda x: known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"f_{x}"))
+    width = F.least(F.size("f_a"), F.size("f_b"))
+    fold = lambda x: F.when(F.size(x) > width, F.zip_with(F.slice(x, 1, width), F.slice(x, width + 1, width), lambda i, j: i.bitwiseXOR(j))).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(fold("f_a"), fold("f_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    sized = sized.join(finer("a"), ["a", "n_a"]).join(finer("b"), ["b", "n_b"]).withColumn("apart", apart)
+    left = settle(sized.where(_similar(threshold, "n_a", "n_b", "(n_a + n_b - apart) / 2")).select("a", "b", "n_a", "n_b").distinct(), shared_dir(docs.sparkSession))
     wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     rows, thin = _likely(docs, wanted, left.count())
@@ -235,25 +257,39 @@ def _check(threshold: int) -> None:
         raise ValueError("threshold: 50 to 100")
 
 
-def _signed_rows(some: DataFrame, known: DataFrame, docs: DataFrame, size: int, threshold: int, path: str, whole: bool = False) -> DataFrame:
-    """sig, doc_id: the signatures of some of docs, which have the profiles `known`.
-
-    With whole they go by the counts of all grams, and have `before`, too.
-    """
-    maps = docs.sparkSession.sparkContext.broadcast(frequent_maps(docs, known, size, threshold, whole))
+def _signed_rows(some: DataFrame, total: int, docs: DataFrame, size: int, threshold: int, path: str) -> DataFrame:
+    """sig, doc_id, before: the signatures of some of docs (doc_id, text), by the counts of all grams of docs, about `total`."""
+    maps = docs.sparkSession.sparkContext.broadcast(frequent_maps(docs, total, size, threshold, True))
 
     def sign(batches):
         for batch, row, sets in _sets(batches, size):
-            sigs, before = zip(*(signatures(s, threshold, *maps.value, whole) for s in sets), strict=True)
-            more = {"before": _lists([b.astype(np.int64) for b in before])} if whole else {}
-            yield pa.RecordBatch.from_pydict({"doc_id": _ids(batch, row, len(sets)), "sigs": _lists(list(sigs))} | more)
+            sigs, before = zip(*(signatures(s, threshold, *maps.value) for s in sets), strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": _ids(batch, row, len(sets)), "sigs": _lists(list(sigs)), "before": _lists([b.astype(np.int64) for b in before])})
 
-    signed = settle(_plain(some).mapInArrow(sign, "doc_id long, sigs array<long>" + ", before array<long>" * whole), path)
-    if not whole:
-        return signed.select(F.explode("sigs").alias("sig"), "doc_id")
+    signed = settle(some.mapInArrow(sign, "doc_id long, sigs array<long>, before array<long>"), path)
     return signed.select(F.explode(F.arrays_zip("sigs", "before")).alias("s"), "doc_id").select(F.col("s.sigs").alias("sig"), "doc_id", F.col("s.before").alias("before"))
 
 
+def _sliced_rows(docs: DataFrame, thin: Callable, total: int, size: int, threshold: int, path: str) -> list[DataFrame]:
+    """Slices of sig, doc_id: the signatures of what `thin` leaves of docs, by the counts of its lowest grams, `total`.
+
+    Each slice has all documents of its signatures, and is a column of the written table.
+    """
+    maps = docs.sparkSession.sparkContext.broadcast(frequent_maps(docs, total, size, threshold, False, thin))
+    slices = min(SLICES, 1 << (total // SLICE).bit_length())
+    names = [f"sigs{i}" for i in range(slices)]
+
+    def sign(batches):
+        for batch, row, sets in _sets(thin(batches), size):
+            sigs = [signatures(s, threshold, *maps.value, False)[0] for s in sets]
+            parts = [s & np.uint64(slices - 1) for s in sigs]
+            own = {name: _lists([s[p == i] for s, p in zip(sigs, parts, strict=True)]) for i, name in enumerate(names)}
+            yield pa.RecordBatch.from_pydict({"doc_id": _ids(batch, row, len(sets))} | own)
+
+    signed = settle(docs.mapInArrow(sign, ", ".join(["doc_id long", *(f"{name} array<long>" for name in names)])), path)
+    return [signed.select(F.explode(name).alias("sig"), "doc_id") for name in names]
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """Components of the documents whose word `size`-gram sets have 100 J >= threshold (50 to 100).
 
@@ -266,26 +302,36 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
     table gives an empty result.
     """
     _check(threshold)
+    with short_lived_shuffles(docs.sparkSession):
+        return _components(docs, size, threshold)
+
+
+def _components(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
     known = settle(profiles(docs, size, threshold), f"{base}/profiles")
-    rows = _signed_rows(docs.where("doc_id is not null"), known, docs, size, threshold, f"{base}/signed")
-    hubs = rows.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("sig", "hub")
-    # Of equal sets only the first goes on (a hub always is one); the others hang below it.
+    # Of equal sets only the first goes on (a hub always is one); the others hang below it, and few of them have signatures.
     same = known.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = settle(same.select(F.col("first").alias("doc_id")).distinct(), f"{base}/firsts")
     copies = known.select("doc_id", "hi", "lo").join(same.where("first <> last"), ["hi", "lo"]).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    met = settle(rows.join(hubs, "sig").join(firsts, "doc_id", "left_semi").select("sig", "doc_id", "hub"), f"{base}/met")
+    own = known.where("n > 0").select("doc_id", "n", "sketch", "fine").join(firsts, "doc_id", "left_semi")
+    some, thin = _likely(docs.where("doc_id is not null"), firsts, firsts.count())
+    met = []
+    for i, rows in enumerate(_sliced_rows(some, thin, _counted(own, threshold), size, threshold, f"{base}/signed")):
+        hubs = rows.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("sig", "hub")
+        met.append(settle(rows.join(hubs, "sig").join(firsts, "doc_id", "left_semi").select("sig", "doc_id", "hub"), f"{base}/met{i}"))
     discard(spark, f"{base}/signed")
-    own = known.where("n > 0").select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     edges = lambda pairs: verified(pairs, docs, own, size, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = edges(met.where("doc_id <> hub").select(*pair("doc_id", "hub")).distinct())
+    links = edges(_union(met).where("doc_id <> hub").select(*pair("doc_id", "hub")).distinct())
     labels = connected_components(links)
-    live = met.select("sig", "doc_id")
+    live = []
+    for i, rows in enumerate(met):
+        live.append(settle(_divided(rows.select("sig", "doc_id"), labels), f"{base}/divided{i}"))
+        discard(spark, f"{base}/met{i}")
+    live = _union(live)
     for k, hubs_each in enumerate(ROUNDS):
-        live = settle(_divided(live, labels), f"{base}/live{k}")
-        if not k:
-            discard(spark, f"{base}/met")
+        if k:
+            live = settle(_divided(live, labels), f"{base}/live{k}")
         hub = F.min(F.struct(F.xxhash64("doc_id", F.pmod("sig", F.lit(hubs_each))).alias("x"), F.col("doc_id").alias("hub"), F.col("c").alias("hub_c")))
         chosen = live.groupBy("sig").agg(hub.alias("h")).select("sig", "h.hub", "h.hub_c")
         labels = grown(labels, edges(live.join(chosen, "sig").where("c <> hub_c").select(*pair("doc_id", "hub")).distinct()))
@@ -300,13 +346,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
     if not members.isEmpty():
         some, thin = _likely(docs, members, members.count())
         some = settle(some.mapInArrow(thin, "doc_id long, text string").join(members, "doc_id", "left_semi"), f"{base}/some")
-        again = _signed_rows(some, known.join(members, "doc_id", "left_semi"), some, size, threshold, f"{base}/signed_again", whole=True)
+        again = _signed_rows(some, _counted(known.join(members, "doc_id", "left_semi"), threshold, True), some, size, threshold, f"{base}/signed_again")
         labels = grown(labels, edges(_by_size(_divided(again, labels).join(own, "doc_id"), threshold, f"{base}/again")))
     labels = grown(labels, copies)
     labels = labels.select(F.col("node").alias("doc_id"), "component")
     return known.select("doc_id", "n").join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _classes(low, high):
     """The classes of the sizes from low to high (SQL); none if there is no such size."""
     place = lambda n: f"cast(floor(ln({n}) / ln({CLASS})) as int)"
@@ -365,8 +415,8 @@ def similar_pairs(docs: DataFrame, size: int = 5, threshold: int = 80) -> tuple[
     same = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"))
     members = settle(known.join(same, ["hi", "lo"]).select("doc_id", "first"), f"{base}/members")
     firsts = members.select(F.col("first").alias("doc_id")).distinct()
-    rows = _signed_rows(docs.join(firsts, "doc_id", "left_semi"), known, docs, size, threshold, f"{base}/signed", whole=True)
-    own = known.select("doc_id", "n", "sketch").join(firsts, "doc_id", "left_semi")
+    rows = _signed_rows(docs.join(firsts, "doc_id", "left_semi"), _counted(known, threshold, True), docs, size, threshold, f"{base}/signed")
+    own = known.select("doc_id", "n", "sketch", "fine").join(firsts, "doc_id", "left_semi")
     pairs = _by_size(rows.withColumn("c", F.col("doc_id")).join(own, "doc_id"), threshold, f"{base}/live")
     links = verified(pairs, docs, own, size, threshold)
     side = lambda x: own.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))

@@ -369,6 +369,42 @@ def test_jaccard_template_is_not_paired(spark, monkeypatch):
     assert found.select("component_id").distinct().count() == 600 and seen[0].count() == 0
 
 
+def test_jaccard_writes_little(spark, monkeypatch):
+    """Copies have no signatures, long texts that share a passage aren't compared wholly, and shuffles go with their queries."""
+    import random
+
+    from sparquill.llm import common, jaccard_join
+
+    r = random.Random(5)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, passage = {}, some(60)
+    for g in range(8):  # long, and below the threshold but for a copy each that lacks some words
+        words = [*some(900), *passage, *some(1000)]
+        rows |= {g: " ".join(words), 100 + g: " ".join(words[:-30])}
+    for k, n in enumerate((1026, 259, 513)):  # near copies whose finer sketches differ in size, or of which one has none
+        words = some(n + 6)
+        rows |= {200 + k: " ".join(words[:n]), 300 + k: " ".join(words)}
+    rows |= {1000 + i: rows[i % 3] for i in range(60)}
+    written, settle, key = [], common.settle, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def seen(df, path):
+        out = settle(df, path)
+        written.append((path.rsplit("/", 1)[1], out, spark.conf.get(key, None), [(x["a"], x["b"]) for x in out.collect()] if out.columns == ["a", "b", "n_a", "n_b"] else [], out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settle", seen)
+    monkeypatch.setattr(jaccard_join, "SLICE", 1 << 10, raising=False)
+    _, want = components(rows, 5, 80)
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = jaccard_join.jaccard_components(table, 5, 80)
+    assert {x["doc_id"]: x["component_id"] for x in found.collect()} == want and len(set(want.values())) == 11
+    ((signed, n),) = [(out, n) for name, out, *_, n in written if name == "signed"]
+    assert n == len(set(rows.values())) == 22 and len(signed.columns) > 2
+    pairs = [p for *_, ps, _ in written for p in ps]
+    assert len(pairs) >= 11 and all(want[a] == want[b] for a, b in pairs)
+    assert {on for _, _, on, *_ in written} == {"true"} and spark.conf.get(key, None) is None
+
+
 ALNUM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
 
 
