@@ -145,10 +145,11 @@ def frequent_maps(docs: DataFrame, total: int, size: int, threshold: int, whole:
     def work(batches):
         for _, _, sets in _sets(thin(batches), size):
             low = sets if whole else [s[: _reach(len(s), threshold)] for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(low)))], names=["gram"])
+            grams, times = np.unique(np.concatenate(low), return_counts=True)  # near copies add up here already
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(grams)), pa.array(times)], names=["gram", "times"])
 
     least = max(FREQUENT, total >> (MAP_BITS - 4))
-    counts = docs.mapInArrow(work, "gram long").groupBy("gram").count().where(F.col("count") >= least)
+    counts = docs.mapInArrow(work, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("count")).where(F.col("count") >= least)
     return bitmap(counts.withColumn("slot", F.shiftrightunsigned("gram", 64 - MAP_BITS)), MAP_BITS, F.lit(True), F.col("count") >= VERY * least)
 
 
